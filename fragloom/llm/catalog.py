@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from fragloom.llm import line_dedup, simhash
+from fragloom.llm import licenses, line_dedup, mixing, simhash
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op6_licenses": licenses.op6_licenses,
+    "op7_mixing": mixing.op7_mixing,
     "op8_simhash": simhash.op8_simhash,
 }
 ORACLES = {"op2_line_dedup": line_dedup.ORACLE_SQL}
