@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from fragloom.llm import licenses, line_dedup, mixing, simhash
+from fragloom.llm import licenses, line_dedup, mixing, simhash, toxicity
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op6_licenses": licenses.op6_licenses,
     "op7_mixing": mixing.op7_mixing,
     "op8_simhash": simhash.op8_simhash,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {"op2_line_dedup": line_dedup.ORACLE_SQL}
