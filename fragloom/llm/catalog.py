@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from fragloom.llm import licenses, line_dedup, mixing, simhash, toxicity
+from fragloom.llm import decontamination, licenses, line_dedup, mixing, simhash, toxicity
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_decontamination": decontamination.op3_decontamination,
     "op6_licenses": licenses.op6_licenses,
     "op7_mixing": mixing.op7_mixing,
     "op8_simhash": simhash.op8_simhash,
