@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from fragloom.llm import decontamination, licenses, line_dedup, mixing, simhash, toxicity
+from fragloom.llm import decontamination, licenses, line_dedup, mixing, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_decontamination": decontamination.op3_decontamination,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op6_licenses": licenses.op6_licenses,
     "op7_mixing": mixing.op7_mixing,
     "op8_simhash": simhash.op8_simhash,
