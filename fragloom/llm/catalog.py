@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from fragloom.llm import decontamination, licenses, line_dedup, mixing, simhash, substring_dedup, toxicity
+from fragloom.llm import decontamination, html_text, licenses, line_dedup, mixing, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op5_html_text": html_text.op5_html_text,
     "op6_licenses": licenses.op6_licenses,
     "op7_mixing": mixing.op7_mixing,
     "op8_simhash": simhash.op8_simhash,
