@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fragloom.llm import decontamination, html_text, licenses, line_dedup, mixing, simhash, substring_dedup, toxicity
+from fragloom.llm import ann, decontamination, html_text, licenses, line_dedup, mixing, simhash, substring_dedup, token_counts, toxicity
 
 QUERIES = {
+    "op1_ann": ann.op1_ann,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_licenses": licenses.op6_licenses,
     "op7_mixing": mixing.op7_mixing,
     "op8_simhash": simhash.op8_simhash,
+    "op9_token_counts": token_counts.op9_token_counts,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {"op2_line_dedup": line_dedup.ORACLE_SQL}
