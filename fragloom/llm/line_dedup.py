@@ -206,7 +206,7 @@ def line_report(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with the lines gone from text (and n_chars, where there is one, counted anew); texts left empty go."""
+    """docs with the lines gone from text (and n_chars, where there is one, counted anew); a text may be left empty."""
     rest = [c for c in docs.columns if c != "text"]
     drop = drops(docs, min_chars).withColumnRenamed("id", "_id").withColumnRenamed("gone", "_gone")
     joined = docs.join(drop, id_of() == F.col("_id"), "left").drop("_id")
