@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from fragloom.plans import fragment_queries
+
+MODULES = (fragment_queries,)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: f for m in MODULES for name, f in m.ORACLES.items()}
 FLAGSHIP = "canonical_dedup"
