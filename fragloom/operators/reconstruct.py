@@ -1,8 +1,8 @@
 """Rebuilding a prompt's context from stored fragments.
 
 Phases, all set-based by prompt: the longest stored prefix, forward extension by adjacent fragments, gaps, and windows
-prefilled for long gaps. Extension picks, at each covered end, the fragment with the smallest start and hash; it is a
-bounded loop of band joins over all prompts at once.
+prefilled for long gaps. Extension picks, at each covered end, the fragment with the smallest start and hash, in
+one fold over the spans of the prompt's model.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from fragloom.functions.hashing import tuple_hash
 from fragloom.operators.joins import covered, gaps
-from fragloom.sources.checkpoints import cut
 
 
 def prefix_hashes(prompts: DataFrame, attempts: int = 128, ascending: bool = False) -> DataFrame:
@@ -30,25 +29,21 @@ def longest_prefix(prompts: DataFrame, stored: DataFrame, attempts: int = 128) -
     return hits.groupBy("prompt_id").agg(F.max("n").alias("n"), F.max_by("content_hash", "n").alias("content_hash"))
 
 
-def extend(prompts: DataFrame, stored: DataFrame, ends: DataFrame, gap: int = 256, rounds: int = 64) -> DataFrame:
+def extend(stored: DataFrame, ends: DataFrame, gap: int = 256) -> DataFrame:
     """(prompt_id, token_start, token_end, content_hash): fragments found forward of each prompt's covered end.
 
     ends: (prompt_id, model_id, length, at). A fragment of the prompt's model follows if it starts after the end by at
-    most `gap`, and ends within the prompt."""
-    width = gap + 1
-    held = stored.select("model_id", "token_start", "token_end", "content_hash").distinct().withColumn("_b", F.floor(F.col("token_start") / width))
-    front, found = ends, None
-    for _ in range(rounds):
-        near = front.withColumn("_b", F.explode(F.sequence(F.floor(F.col("at") / width), F.floor(F.col("at") / width) + 1)))
-        hit = near.join(held, ["model_id", "_b"]).where((F.col("token_start") > F.col("at")) & (F.col("token_start") - F.col("at") <= gap) & (F.col("token_end") < F.col("length")))
-        step = hit.groupBy("prompt_id", "model_id", "length").agg(F.min(F.struct("token_start", "content_hash", "token_end")).alias("f")).select("prompt_id", "model_id", "length", "f.*")
-        step = cut(step)
-        if step.isEmpty():
-            break
-        part = step.select("prompt_id", "token_start", "token_end", "content_hash")
-        found = part if found is None else found.union(part)
-        front = step.select("prompt_id", "model_id", "length", F.col("token_end").alias("at"))
-    return found if found is not None else stored.sparkSession.createDataFrame([], "prompt_id long, token_start int, token_end int, content_hash string")
+    most `gap`, and ends within the prompt; of several the smallest start, then hash. A model's different spans (the
+    least hash of each stands for it: their number goes with positions, not with fragments) are walked once in order:
+    a span that starts at or before the end cannot follow later, since ends only grow."""
+    spans = stored.groupBy("model_id", "token_start", "token_end").agg(F.min("content_hash").alias("content_hash"))
+    lines = spans.groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct("token_start", "content_hash", "token_end"))).alias("line"))
+    kind = "array<struct<token_start:int,content_hash:string,token_end:int>>"
+    follows = lambda at, x: (x["token_start"] > at) & (x["token_start"] - at <= gap) & (x["token_end"] < F.col("length"))
+    start = F.struct(F.col("at").cast("int").alias("at"), F.array().cast(kind).alias("found"))
+    step = lambda s, x: F.when(follows(s["at"], x), F.struct(x["token_end"].alias("at"), F.concat(s["found"], F.array(x)).alias("found"))).otherwise(s)
+    walked = ends.join(lines, "model_id").select("prompt_id", F.explode(F.aggregate(F.col("line").cast(kind), start, step)["found"]).alias("x"))
+    return walked.select("prompt_id", "x.token_start", "x.token_end", "x.content_hash")
 
 
 def coverage(prompts: DataFrame, spans: DataFrame, most_gap: int = 256) -> tuple[DataFrame, DataFrame]:

@@ -8,19 +8,10 @@ from fragloom.functions import hashing as H
 from fragloom.operators import inventory as I
 from fragloom.operators import windows as W
 from fragloom.plans import sql as S
+from fragloom.plans.registry import registry
 from fragloom.sources import tables as T
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
+QUERIES, ORACLES, query = registry()
 
 
 @query("canonical_dedup", f"WITH {S.PROMPTS}, {S.windows(64)} SELECT content_hash, count(*) AS copies, count(DISTINCT tenant) AS tenants, min(tenant) AS first_tenant FROM win GROUP BY content_hash HAVING count(*) > 1")
