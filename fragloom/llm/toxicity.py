@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from fragloom.llm.common import byte_rows, slices
 
 WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, WORD_ROWS, CHAR_ROWS = 48, 40, 8, 8, 16, 1 << 15, 1 << 15
-SAMPLE, TRAIN_WINDOWS, ROUNDS, BATCH, RATE, SEED, THRESHOLD = 6000, 8, 6, 256, 0.01, 7, 0.7
+SAMPLE, TRAIN_WINDOWS, ROUNDS, STEPS, BATCH, RATE, SEED, THRESHOLD = 6000, 8, 6, 500, 128, 0.01, 7, 0.7
 CACHE_WORDS, SCORE_BATCH = 200_000, 2048
 GRAMS = (3, 4, 5)
 EDGES = b".,;:!?\"'()[]{}|*#-"
@@ -165,7 +165,8 @@ def scores(p, table_f, table_b, ids: np.ndarray, lengths: np.ndarray) -> np.ndar
 
 
 def train(texts: list[list[list[bytes]]], labels: np.ndarray, rounds: int = ROUNDS, seed: int = SEED) -> dict[str, np.ndarray]:
-    """Weights from documents (lists of windows of words) and their labels, by Adam on the windows' log loss."""
+    """Weights from documents (lists of windows of words) and their labels, by Adam on the windows' log loss: at least
+    `rounds` rounds and STEPS steps, so that few labels are seen often enough."""
     rng, vocabulary = np.random.default_rng(seed), Vocabulary()
     p = init(rng)
     encoded = [[vocabulary.encode(b" ".join(w))[:WINDOW] for w in doc] for doc in texts]
@@ -177,9 +178,10 @@ def train(texts: list[list[list[bytes]]], labels: np.ndarray, rounds: int = ROUN
     for i, w in enumerate(flat):
         ids[i, : len(w)] = w
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    step = 0
-    for turn in range(rounds):
-        if turn:
+    step = turn = 0
+    while turn < rounds or step < STEPS:
+        turn += 1
+        if turn > 1:
             got = predict(p, rows, grams, counts, ids, lengths)
             order = np.lexsort((-got, owner))
             best = order[np.unique(owner[order], return_index=True)[1]]
