@@ -7,8 +7,9 @@ one, or else the whole body) that are not template and not in a menu, header, fo
 reader comment.
 
 What is shuffled by host is a compact tree of tags and text hashes, not html; only lists of template blocks come back
-to the pages. Inside a marked article, a block is template only if it is short (TEMPLATE_WORDS) and at least
-TEMPLATE_PAGES different pages repeat it, so that copied articles stay whole.
+to the pages. Copies and near copies of an article share its blocks too, so a block is template only where the pages
+that repeat it tell different stories: at least TEMPLATE_PAGES of them, and TEMPLATE_SHARE of them, by the smallest hash
+of a page's word triples (near copies share it). Inside a marked article it must also be short (TEMPLATE_WORDS).
 
 Defined cases: null or empty html gives an empty text; a page without a host stands alone; null page_ids are kept;
 repeated rows come back as often as they came in; an empty table gives an empty result; other columns are ignored.
@@ -169,12 +170,16 @@ def compact(tree: Tree) -> dict:
             parents.append(number.get(up, -1))
             tags.append(xxhash.xxh32_intdigest(tag) & 0x7FFF)
     kept = tree.kept()
+    words = " ".join(tree.blocks[k][1] for k in kept).encode().split()
+    story = min((xxhash.xxh32_intdigest(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0)
+
     def place(i):
         while i not in number:
             i = tree.parents[i]
         return number[i]
+
     return {
-        "parents": parents, "tags": tags, "blocks": kept, "places": [place(tree.blocks[k][0]) for k in kept],
+        "story": story, "parents": parents, "tags": tags, "blocks": kept, "places": [place(tree.blocks[k][0]) for k in kept],
         "hashes": [xxhash.xxh64_intdigest(tree.blocks[k][1].encode()) - (1 << 63) for k in kept],
         "short": [len(tree.blocks[k][1].split()) <= TEMPLATE_WORDS or not tree.inside[tree.blocks[k][0]] for k in kept],
     }
@@ -276,10 +281,10 @@ def compact_trees(hosted: DataFrame) -> DataFrame:
     def run(batches):
         for batch in slices(batches, 256):
             rows = [compact(Tree(x.decode("utf-8", "replace"))) for x in byte_rows(batch, "html")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *(pa.array([r[f] for r in rows], t) for f, t in zip(FIELDS, kinds))], ["host", "page_id", "page_hash", *FIELDS])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([r["story"] for r in rows], pa.int64()), *(pa.array([r[f] for r in rows], t) for f, t in zip(FIELDS, kinds))], ["host", "page_id", "page_hash", "story", *FIELDS])
 
     texts = hosted.where("host <> '' and html <> ''").select("host", "page_id", F.xxhash64("html").alias("page_hash"), "html")
-    return texts.mapInArrow(run, f"host string, page_id long, page_hash long, {COMPACT}")
+    return texts.mapInArrow(run, f"host string, page_id long, page_hash long, story long, {COMPACT}")
 
 
 def _tree_of(row: dict, prefix: str, matcher: Matcher) -> dict:
@@ -293,7 +298,7 @@ def template_blocks(hosted: DataFrame, share: float = TEMPLATE_SHARE, least: int
     firsts = trees.groupBy("host").agg(F.min(F.struct("page_id", "page_hash")).alias("at"), F.count("*").alias("pages")).where(F.col("pages") >= least).select("host", "at.*")
     known = trees.join(firsts, ["host", "page_id", "page_hash"], "left_semi").dropDuplicates(["host"])
     references = known.select("host", *[F.col(f).alias("ref_" + f) for f in FIELDS])
-    schema = "host string, page_id long, page_hash long, node int, hash long, block int"
+    schema = "host string, page_id long, page_hash long, story long, node int, hash long, block int"
 
     def run(batches):
         matcher, host, reference = Matcher(), None, None
@@ -305,14 +310,14 @@ def template_blocks(hosted: DataFrame, share: float = TEMPLATE_SHARE, least: int
                 if row["host"] != host:
                     host, reference = row["host"], _tree_of(row, "ref_", matcher)
                 page = _tree_of(row, "", matcher)
-                out += [(host, row["page_id"], row["page_hash"], node, page["hashes"][k], page["blocks"][k]) for k, node in aligned_blocks(matcher, reference, page) if page["short"][k]]
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["host", "page_id", "page_hash", "node", "hash", "block"])
+                out += [(host, row["page_id"], row["page_hash"], row["story"], node, page["hashes"][k], page["blocks"][k]) for k, node in aligned_blocks(matcher, reference, page) if page["short"][k]]
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["host", "page_id", "page_hash", "story", "node", "hash", "block"])
 
     held = cut(trees.join(references, "host").mapInArrow(run, schema))
-    texts = held.groupBy("host", "node", "hash").agg(F.approx_count_distinct("page_hash").alias("rough"), F.count("*").alias("n"))
+    texts = held.groupBy("host", "node", "hash").agg(F.approx_count_distinct("story").alias("stories"), F.count("*").alias("n"))
     nodes = held.groupBy("host", "node").agg(F.count("*").alias("all"))
-    fixed = texts.join(nodes, ["host", "node"]).where((F.col("n") >= share * F.col("all")) & (F.col("rough") >= least)).select("host", "node", "hash")
+    fixed = texts.join(nodes, ["host", "node"]).where((F.col("n") >= share * F.col("all")) & (F.col("stories") >= F.greatest(F.lit(least), share * F.col("n")))).select("host", "node", "hash")
     return held.join(fixed, ["host", "node", "hash"]).groupBy("page_id", "page_hash").agg(F.collect_set("block").alias("gone"))
 
 
