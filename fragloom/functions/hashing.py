@@ -101,9 +101,9 @@ def byte_units(n: Column) -> Column:
     size, out = n.cast("double"), None
     for power, unit in enumerate(["B", "KiB", "MiB", "GiB", "TiB"]):
         scaled = size / float(1024**power)
-        text = F.format_string("%.1f " + unit, scaled)
+        text = F.format_string("%.1f " + unit, F.bround(scaled, 1))  # powers of two: exact, so halves go to even
         out = F.when(F.abs(scaled) < 1024, text) if out is None else out.when(F.abs(scaled) < 1024, text)
-    return out.otherwise(F.format_string("%.1f PiB", size / float(1024**5)))
+    return out.otherwise(F.format_string("%.1f PiB", F.bround(size / float(1024**5), 1)))
 
 
 def duration_units(seconds: Column) -> Column:
