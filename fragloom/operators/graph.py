@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fragloom.sources.checkpoints import cut
+
 
 def next_edges(accessed: DataFrame) -> DataFrame:
     """(src, dst, edge_type, weight): consecutive accesses of a session; weight is the share of the source's successors."""
@@ -47,14 +49,13 @@ def components(seeds: DataFrame, edges: DataFrame, least: float = 0.5, depth: in
     """(seed, node): what each seed reaches within `depth` steps along out-edges of weight `least` or more, itself included.
 
     A seed that is no node of the graph reaches nothing. All seeds advance together; one join a step."""
+    edges = cut(edges.select("src", "dst", "weight"))
     strong = neighbours(edges, least)
     known = edges.select(F.col("src").alias("seed")).union(edges.select("dst")).distinct()
     reached = seeds.select("seed").distinct().join(known, "seed", "left_semi").select("seed", F.col("seed").alias("node"))
-    front = reached
-    for _ in range(depth):
-        step = front.join(strong, front["node"] == strong["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        front = step.join(reached, ["seed", "node"], "left_anti")
-        reached = reached.union(front)
+    for _ in range(depth):  # few steps over cut edges: exchanges are reused, and distinct keeps the walk a set
+        step = reached.join(strong, reached["node"] == strong["src"]).select("seed", F.col("dst").alias("node"))
+        reached = reached.union(step).distinct()
     return reached
 
 

@@ -7,20 +7,38 @@ one fold over the spans of the prompt's model.
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fragloom.functions.hashing import tuple_hash
 from fragloom.operators.joins import covered, gaps
 
 
 def prefix_hashes(prompts: DataFrame, attempts: int = 128, ascending: bool = False) -> DataFrame:
-    """(prompt_id, model_id, n, content_hash): hashes of about `attempts` prefixes, from the whole down, or from 1 up."""
-    n = F.size("tokens")
-    step = F.greatest(F.lit(1), F.floor(n / attempts).cast("int"))
-    grid = F.sequence(F.lit(1), n, step) if ascending else F.sequence(n, F.lit(1), -step)
-    rows = prompts.where(n > 0).select("prompt_id", "model_id", "tokens", F.explode(grid).alias("n"))
-    return rows.select("prompt_id", "model_id", "n", tuple_hash(F.slice("tokens", F.lit(1), F.col("n"))).alias("content_hash"))
+    """(prompt_id, model_id, n, content_hash): hashes of about `attempts` prefixes, from the whole down, or from 1 up.
+
+    Built-in functions would hash every prefix from its start; in Arrow batches one running hash serves all."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for prompt, model, tokens in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                total = len(tokens)
+                step = max(1, total // attempts)
+                ends = list(range(1, total + 1, step)) if ascending else list(range(total, 0, -step))[::-1]
+                running, at = hashlib.md5(b"("), 0
+                for n in ends:  # one pass: each prefix goes on from the hash of the one before
+                    running.update((", " if at else "").encode() + ", ".join(map(str, tokens[at:n])).encode())
+                    whole, at = running.copy(), n
+                    whole.update(b",)" if n == 1 else b")")
+                    out.append((prompt, model, n, whole.hexdigest()))
+            columns = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int32(), pa.string()))], ["prompt_id", "model_id", "n", "content_hash"])
+
+    rows = prompts.where(F.size("tokens") > 0).select(F.col("prompt_id").cast("long").alias("prompt_id"), "model_id", "tokens")
+    return rows.mapInArrow(run, "prompt_id long, model_id string, n int, content_hash string")
 
 
 def longest_prefix(prompts: DataFrame, stored: DataFrame, attempts: int = 128) -> DataFrame:
