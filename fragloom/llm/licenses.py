@@ -64,7 +64,8 @@ def _gram(words, at, k: int):
 def template_grams(spark, templates=TEMPLATES, k: int = K) -> DataFrame:
     """(t, label, tpos, grams, gram): fixed, a row for each template position."""
     rows = [(t, label, i, len(w) - k + 1, " ".join(w[i : i + k])) for t, (label, text) in enumerate(templates) for w in [_words_of(text)] for i in range(len(w) - k + 1)]
-    return spark.createDataFrame(rows, "t int, label string, tpos int, grams int, gram string").withColumn("gram", F.xxhash64("gram"))
+    made = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(label).alias("label"), F.lit(i).alias("tpos"), F.lit(n).alias("grams"), F.lit(g).alias("gram")) for t, label, i, n, g in rows])
+    return spark.range(1).select(F.explode(made).alias("x")).select("x.*").withColumn("gram", F.xxhash64("gram"))
 
 
 def _places(words, phrase: str):
