@@ -28,7 +28,7 @@ from fragloom.llm.common import byte_rows, slices
 
 WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, WORD_ROWS, CHAR_ROWS = 48, 40, 8, 8, 16, 1 << 15, 1 << 15
 SAMPLE, TRAIN_WINDOWS, ROUNDS, STEPS, BATCH, RATE, SEED, THRESHOLD = 6000, 8, 6, 500, 128, 0.01, 7, 0.7
-CACHE_WORDS, SCORE_BATCH = 200_000, 2048
+CACHE_WORDS, SCORE_BATCH, MEAN_WORDS, FRESH_WORDS = 200_000, 2048, 16_384, 16_384
 GRAMS = (3, 4, 5)
 EDGES = b".,;:!?\"'()[]{}|*#-"
 
@@ -58,8 +58,13 @@ class Vocabulary:
 
     def take_fresh(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word rows, gram rows, number of grams) of the words that are new since the last call."""
-        bare = [w.strip(EDGES) for w in self.fresh]
-        self.fresh = []
+        words, self.fresh = self.fresh, []
+        parts = [self._features(words[i : i + FRESH_WORDS]) for i in range(0, max(1, len(words)), FRESH_WORDS)]
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    @staticmethod
+    def _features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        bare = [w.strip(EDGES) for w in words]
         rows = np.fromiter((zlib.crc32(w) & (WORD_ROWS - 1) for w in bare), np.int64, len(bare))
         sizes = np.fromiter((len(w) for w in bare), np.int64, len(bare)) + 2
         starts = np.cumsum(sizes) - sizes
@@ -74,7 +79,7 @@ class Vocabulary:
                 codes.append((code ^ (code >> np.uint32(15)))[whole] & np.uint32(CHAR_ROWS - 1))
                 owners.append(owner[whole])
         owners, codes = np.concatenate(owners), np.concatenate(codes)
-        return rows, codes[np.argsort(owners, kind="stable")].astype(np.int64), np.bincount(owners, minlength=len(bare))
+        return rows, codes[np.argsort(owners, kind="stable")].astype(np.int32), np.bincount(owners, minlength=len(bare))
 
 
 def init(rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -87,11 +92,15 @@ def init(rng: np.random.Generator) -> dict[str, np.ndarray]:
 
 
 def char_means(p, grams, counts) -> np.ndarray:
-    out = np.zeros((len(counts), CHAR_DIM), np.float32)
-    full = counts > 0
-    if full.any():
-        starts = (np.cumsum(counts) - counts)[full]
-        out[full] = np.add.reduceat(p["char"][grams], starts, axis=0) / counts[full, None]
+    """Mean gram vector of each word, MEAN_WORDS words at a time, which bounds what is gathered at once."""
+    out, ends = np.zeros((len(counts), CHAR_DIM), np.float32), np.cumsum(counts)
+    for at in range(0, len(counts), MEAN_WORDS):
+        some = counts[at : at + MEAN_WORDS]
+        first = int(ends[at] - counts[at])
+        full = some > 0
+        if full.any():
+            starts = (ends[at : at + MEAN_WORDS] - some)[full] - first
+            out[at : at + MEAN_WORDS][full] = np.add.reduceat(p["char"][grams[first : int(ends[at + len(some) - 1])]], starts, axis=0) / some[full, None]
     return out
 
 
@@ -164,17 +173,17 @@ def scores(p, table_f, table_b, ids: np.ndarray, lengths: np.ndarray) -> np.ndar
     return sigmoid(pooled(p, np.concatenate([forward, backward], axis=2), mask)[0])
 
 
-def train(texts: list[list[list[bytes]]], labels: np.ndarray, rounds: int = ROUNDS, seed: int = SEED) -> dict[str, np.ndarray]:
-    """Weights from documents (lists of windows of words) and their labels, by Adam on the windows' log loss: at least
+def train(texts: list[list[bytes]], labels: np.ndarray, rounds: int = ROUNDS, seed: int = SEED) -> dict[str, np.ndarray]:
+    """Weights from documents (lists of window texts) and their labels, by Adam on the windows' log loss: at least
     `rounds` rounds and STEPS steps, so that few labels are seen often enough."""
     rng, vocabulary = np.random.default_rng(seed), Vocabulary()
     p = init(rng)
-    encoded = [[vocabulary.encode(b" ".join(w))[:WINDOW] for w in doc] for doc in texts]
+    encoded = [[np.array(vocabulary.encode(w)[:WINDOW], np.int32) for w in doc] for doc in texts]
     rows, grams, counts = vocabulary.take_fresh()
     starts = np.cumsum(counts) - counts
     owner = np.repeat(np.arange(len(encoded)), [len(d) for d in encoded])
     flat = [w for d in encoded for w in d]
-    ids, lengths = np.zeros((len(flat), WINDOW), np.int64), np.array([len(w) for w in flat])
+    ids, lengths = np.zeros((len(flat), WINDOW), np.int32), np.array([len(w) for w in flat])
     for i, w in enumerate(flat):
         ids[i, : len(w)] = w
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
@@ -268,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SE
     marks = np.array([r.toxic for r in rows])
     if len(set(marks.tolist())) < 2:
         return None
-    return train([[bytes(x).split() for x in r.parts] for r in rows], marks, seed=seed)
+    return train([[bytes(x) for x in r.parts] for r in rows], marks, seed=seed)
 
 
 def score_texts(p, texts: list[bytes], vocabulary: Vocabulary, held: list) -> np.ndarray:
