@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from fragloom.llm.common import byte_rows, cut, slices
 
-TEMPLATE_SHARE, TEMPLATE_PAGES, TEMPLATE_WORDS = 0.6, 5, 12
+TEMPLATE_SHARE, TEMPLATE_PAGES, TEMPLATE_WORDS, LARGE_HOSTS, BROADCAST_ROWS = 0.6, 5, 12, 256, 100_000
 # Element and class names of HTML and of common page layouts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp".split())
@@ -298,6 +298,13 @@ def template_blocks(hosted: DataFrame, share: float = TEMPLATE_SHARE, least: int
     firsts = trees.groupBy("host").agg(F.min(F.struct("page_id", "page_hash")).alias("at"), F.count("*").alias("pages")).where(F.col("pages") >= least).select("host", "at.*")
     known = trees.join(firsts, ["host", "page_id", "page_hash"], "left_semi").dropDuplicates(["host"])
     references = known.select("host", *[F.col(f).alias("ref_" + f) for f in FIELDS])
+    # a host with more than one in LARGE_HOSTS of all pages (there are fewer than that) is dealt out in as many parts as its share holds
+    counted = cut(trees.groupBy("host").agg(F.count("*").alias("pages")))
+    total = counted.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    large = F.broadcast(counted.where(F.col("pages") * LARGE_HOSTS > total).select("host", F.ceil(F.col("pages") * LARGE_HOSTS / max(1, total)).alias("parts")))
+    parted = lambda rows: rows.join(large, "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    references = parted(references).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    dealt = parted(trees).withColumn("part", F.pmod(F.xxhash64("page_id", "page_hash"), "parts")).drop("parts")
     schema = "host string, page_id long, page_hash long, story long, node int, hash long, block int"
 
     def run(batches):
@@ -314,7 +321,7 @@ def template_blocks(hosted: DataFrame, share: float = TEMPLATE_SHARE, least: int
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["host", "page_id", "page_hash", "story", "node", "hash", "block"])
 
-    held = cut(trees.join(references, "host").mapInArrow(run, schema))
+    held = cut(dealt.join(references, ["host", "part"]).drop("part").mapInArrow(run, schema))
     texts = held.groupBy("host", "node", "hash").agg(F.approx_count_distinct("story").alias("stories"), F.count("*").alias("n"))
     nodes = held.groupBy("host", "node").agg(F.count("*").alias("all"))
     fixed = texts.join(nodes, ["host", "node"]).where((F.col("n") >= share * F.col("all")) & (F.col("stories") >= F.greatest(F.lit(least), share * F.col("n")))).select("host", "node", "hash")
@@ -324,7 +331,9 @@ def template_blocks(hosted: DataFrame, share: float = TEMPLATE_SHARE, least: int
 def extract(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLATE_PAGES) -> DataFrame:
     """(page_id, url, text, blocks): blocks are the kept text blocks, joined by a space in text."""
     hosted = with_host(pages)
-    gone = template_blocks(hosted, share, least)
+    gone = cut(template_blocks(hosted, share, least))
+    if gone.count() <= BROADCAST_ROWS:  # else pages and blocks meet by a shuffle
+        gone = F.broadcast(gone)
 
     def run(batches):
         for batch in slices(batches, 256):
