@@ -4,8 +4,9 @@ Equal vectors are one node (it answers for all its ids), so thousands of copies
 component, sqrt(M^2 - |x|^2) with M the largest norm, which makes the largest inner product the nearest vector. The
 graph starts from neighbours within short stretches of sorted random projections. Each round of NN-descent joins every
 node's neighbours (both directions) with one another at that node: the pairs are neighbours of neighbours, and each
-keeps its best. Reverse neighbours and pairs are sampled as the method has it; no answer is left out for that. A query
-walks the graph greedily: it keeps a pool of the best nodes seen and in each hop expands the best not yet expanded.
+keeps its best; rounds go on until few neighbours change. Reverse neighbours and pairs are sampled as the method has it.
+A query walks the graph greedily: it keeps a pool of the best nodes seen and in each hop expands the best not yet
+expanded, until its pool holds none. Degree and pool are fixed, so recall falls slowly as the table grows (README).
 All hops are joins on node, and scores of the answers are taken again in double precision from the given vectors.
 
 Defined cases: vectors that are null, empty, zero, of another length than most, or that hold a null or non-finite
@@ -15,6 +16,8 @@ fewer candidates than k, all come back; an empty table gives an empty result; ot
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from fragloom.llm.common import cut, slices
 
-DEGREE, BACK, PAIRS, ROUNDS, PLANES, STRETCH, POOL, EXPAND, HOPS, PIVOTS, SEED = 20, 20, 10, 4, 4, 128, 96, 10, 6, 1024, 11
+DEGREE, BACK, PAIRS, SETTLED, PLANES, STRETCH, POOL, EXPAND, PIVOTS, SEED = 32, 32, 16, 0.05, 4, 128, 300, 50, 1024, 11
 LISTS = "id long, ids array<long>, sims array<float>"
 
 
@@ -47,6 +50,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(n, -1) if n else flat.reshape(0, 0)
 
 
+def _flat(lists: pa.ListScalar) -> np.ndarray:
+    """The numbers of a list of lists."""
+    return lists.values.flatten().to_numpy()
+
+
+def freed(spark) -> None:
+    """Has Spark drop the shuffles and checkpoints that nothing refers to any more, as each round writes as much again."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best of distinct ids."""
     _, first = np.unique(ids, return_index=True)
@@ -61,8 +75,8 @@ def merge_lists(lists: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for batch in slices(batches, 4096):
             rows = []
-            for i, ids, sims in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                rows.append((i, *_best(np.concatenate([np.array(x, np.int64) for x in ids]), np.concatenate([np.array(x, np.float32) for x in sims]), k)))
+            for i, ids, sims in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                rows.append((i, *_best(_flat(ids), _flat(sims), k)))
             yield _lists(rows)
 
     return lists.groupBy("id").agg(F.collect_list("ids").alias("ids"), F.collect_list("sims").alias("sims")).mapInArrow(run, LISTS)
@@ -124,13 +138,15 @@ def around(graph: DataFrame, nodes: DataFrame, back: int, turn: int) -> DataFram
 
 
 def descend(graph: DataFrame, nodes: DataFrame, k: int = DEGREE, back: int = BACK, pairs: int = PAIRS, turn: int = 0) -> DataFrame:
-    """One round: the members of each node meet one another, and each node keeps its k best."""
+    """One round: the members of each node meet one another, and each node keeps its k best.
+
+    A pair that is no better than the worst of a full list is not sent, as it could not enter."""
 
     def run(batches):
         for batch in slices(batches, 1024):
             rows = []
-            for ids, vs in zip(batch.column(0), batch.column(1)):
-                ids = ids.values.to_numpy()
+            for ids, vs, worst in zip(batch.column(0), batch.column(1), batch.column(2)):
+                ids, worst = ids.values.to_numpy(), worst.values.to_numpy()
                 if len(ids) < 2:
                     continue
                 x = vs.values.to_numpy().reshape(len(ids), -1)
@@ -139,22 +155,31 @@ def descend(graph: DataFrame, nodes: DataFrame, k: int = DEGREE, back: int = BAC
                 n = min(pairs, len(ids) - 1)
                 top = np.argpartition(-sims, n - 1, axis=1)[:, :n]
                 near = np.take_along_axis(sims, top, axis=1)
-                rows += zip(ids.tolist(), ids[top], near)
+                better = near > worst[:, None]
+                rows += ((i, ids[t[b]], s[b]) for i, t, s, b in zip(ids.tolist(), top, near, better) if b.any())
             yield _lists(rows)
 
-    met = around(graph, nodes, back, turn).select("ids", "vs").mapInArrow(run, LISTS)
-    return cut(merge_lists(graph.union(met), k))
+    worst = F.when(F.size("sims") >= k, F.element_at("sims", -1)).otherwise(F.lit(float("-inf"))).cast("float")
+    limits = nodes.join(graph.select("id", worst.alias("worst")), "id", "left").select("id", "v", F.coalesce("worst", F.lit(float("-inf")).cast("float")).alias("worst"))
+    joined = members(graph, back, turn).join(limits, "id").groupBy("center")
+    met = joined.agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("vs"), F.collect_list("worst").alias("worst"))
+    return cut(merge_lists(graph.union(met.select("ids", "vs", "worst").mapInArrow(run, LISTS)), k))
 
 
-def build_graph(nodes: DataFrame, dims: int, k: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
-    """(id, ids, sims): NN-descent over nodes (id, v)."""
-    graph = starting_lists(nodes, dims, k)
-    for turn in range(rounds):
-        graph = descend(graph, nodes, k, turn=turn)
-    return graph
+def build_graph(nodes: DataFrame, dims: int, k: int = DEGREE, settled: float = SETTLED) -> DataFrame:
+    """(id, ids, sims): NN-descent over nodes (id, v), until a round changes at most the share `settled` of neighbours."""
+    graph, turn = starting_lists(nodes, dims, k), 0
+    while True:
+        freed(nodes.sparkSession)
+        before, graph = graph, descend(graph, nodes, k, turn=turn)
+        new = graph.join(before.select("id", F.col("ids").alias("was")), "id", "left").select(F.size("ids").alias("n"), F.size(F.array_except("ids", F.coalesce("was", F.array().cast("array<long>")))).alias("m"))
+        n, changed = new.agg(F.sum("n"), F.sum("m")).first()
+        if (changed or 0) <= settled * (n or 0):
+            return graph
+        turn += 1
 
 
-def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, pool: int = POOL, expand: int = EXPAND, hops: int = HOPS, pivots: int = PIVOTS) -> DataFrame:
+def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, pool: int = POOL, expand: int = EXPAND, pivots: int = PIVOTS) -> DataFrame:
     """(q, ids, sims): the pool of each query (q, v, at): v with the extra component, at: a node to start from or null.
 
     Searches start from that node and from the best of `pivots` nodes that every task holds (a fixed number)."""
@@ -190,20 +215,20 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, pool: int = P
     def merge(batches):
         for batch in slices(batches, 1024):
             rows = []
-            for q, v, ids, sims, done, more, more_sims in zip(*(batch.column(i).to_pylist() for i in range(7))):
-                was = {i for i, d in zip(ids, done) if d}
-                new = [np.array(x, np.int64) for x in more or []]
-                new_sims = [np.array(x, np.float32) for x in more_sims or []]
-                best, near = _best(np.concatenate([np.array(ids, np.int64), *new]), np.concatenate([np.array(sims, np.float32), *new_sims]), pool)
-                ahead = [i for i in best.tolist() if i not in was][:expand]
-                was.update(ahead)
-                rows.append((q, v, best, near, [i in was for i in best.tolist()], ahead))
+            for q, v, ids, sims, done, more, more_sims in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in range(1, 7))):
+                v, best, near = v.values.to_numpy(), ids.values.to_numpy(), sims.values.to_numpy()
+                was = best[done.values.to_numpy(zero_copy_only=False)]
+                if more.is_valid:
+                    best, near = _best(np.concatenate([best, _flat(more)]), np.concatenate([near, _flat(more_sims)]), pool)
+                ahead = best[~np.isin(best, was)][:expand]
+                rows.append((q, v, best, near, np.isin(best, was) | np.isin(best, ahead), ahead))
             yield state(rows)
 
     own = nodes.select(F.col("id").alias("at"), F.col("v").alias("av"))
     states = cut(queries.join(own, "at", "left").select("q", "v", "at", "av").mapInArrow(start, state_schema))
-    near = cut(around(graph, nodes, BACK, ROUNDS))
-    for _ in range(hops):
+    near = cut(around(graph, nodes, BACK, -1))
+    while not states.where(F.size("next") > 0).isEmpty():
+        freed(nodes.sparkSession)
         frontier = states.select("q", "v", F.explode("next").alias("center"))
         found = frontier.join(near, "center").select("q", "v", "ids", "vs").mapInArrow(score, LISTS)
         gathered = found.groupBy("id").agg(F.collect_list("ids").alias("more"), F.collect_list("sims").alias("more_sims"))

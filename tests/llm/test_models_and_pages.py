@@ -51,6 +51,17 @@ def test_neighbours_recall_ties_and_unusable_vectors(spark, n):
     assert hits >= 0.9 * total
 
 
+def test_neighbours_recall_of_even_vectors_when_few_nodes_are_pivots(spark):
+    x = np.random.default_rng(8).standard_normal((6000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = {}
+    for r in ann.nearest(vector_frame(spark, list(enumerate(x.tolist()))), F.col("id") % 60 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    sims = x[::60].astype(float) @ x.T.astype(float)
+    want = {60 * i: set(np.argsort(-row)[:21].tolist()) - {60 * i} for i, row in enumerate(sims)}
+    assert sum(len(want[q] & found[q]) for q in want) >= 0.98 * 20 * len(want)
+
+
 def test_no_vectors(spark):
     assert ann.nearest(vector_frame(spark, []), F.col("id") % 20 == 0).count() == 0
     assert ann.nearest(vector_frame(spark, [(0, [1.0, 0.0])]), F.col("id") % 20 == 0).count() == 0
