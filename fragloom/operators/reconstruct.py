@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fragloom.operators.joins import covered, gaps
+from fragloom.operators.joins import best, covered, gaps
 
 
 def prefix_hashes(prompts: DataFrame, attempts: int = 128, ascending: bool = False) -> DataFrame:
@@ -47,17 +47,25 @@ def longest_prefix(prompts: DataFrame, stored: DataFrame, attempts: int = 128) -
     return hits.groupBy("prompt_id").agg(F.max("n").alias("n"), F.max_by("content_hash", "n").alias("content_hash"))
 
 
-def extend(stored: DataFrame, ends: DataFrame, gap: int = 256) -> DataFrame:
+def extend(stored: DataFrame, ends: DataFrame, gap: int = 256, owner: str | None = None) -> DataFrame:
     """(prompt_id, token_start, token_end, content_hash): fragments found forward of each prompt's covered end.
 
     ends: (prompt_id, model_id, length, at). A fragment of the prompt's model follows if it starts after the end by at
     most `gap`, and ends within the prompt; of several the smallest start, then hash. A model's different spans (the
     least hash of each stands for it: their number goes with positions, not with fragments) are walked once in order:
-    a span that starts at or before the end cannot follow later, since ends only grow."""
-    spans = stored.groupBy("model_id", "token_start", "token_end").agg(F.min("content_hash").alias("content_hash"))
-    lines = spans.groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct("token_start", "content_hash", "token_end"))).alias("line"))
-    kind = "array<struct<token_start:int,content_hash:string,token_end:int>>"
-    follows = lambda at, x: (x["token_start"] > at) & (x["token_start"] - at <= gap) & (x["token_end"] < F.col("length"))
+    a span that starts at or before the end cannot follow later, since ends only grow. With `owner` (the column of stored
+    that names the prompt a fragment comes from) a prompt's own fragments do not follow in it: a span is then stood for by
+    its least hash and by the least of another prompt."""
+    at_span = ["model_id", "token_start", "token_end"]
+    if owner:
+        each = stored.groupBy(*at_span, F.col(owner).alias("owner")).agg(F.min("content_hash").alias("content_hash"))
+        spans = best(each, at_span, [F.col("content_hash"), F.col("owner")], 2)
+    else:
+        spans = stored.groupBy(*at_span).agg(F.min("content_hash").alias("content_hash")).withColumn("owner", F.lit(None).cast("long"))
+    lines = spans.groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct("token_start", "content_hash", "token_end", F.col("owner").cast("long").alias("owner")))).alias("line"))
+    kind = "array<struct<token_start:int,content_hash:string,token_end:int,owner:bigint>>"
+    foreign = lambda x: ~x["owner"].eqNullSafe(F.col("prompt_id")) if owner else F.lit(True)
+    follows = lambda at, x: foreign(x) & (x["token_start"] > at) & (x["token_start"] - at <= gap) & (x["token_end"] < F.col("length"))
     start = F.struct(F.col("at").cast("int").alias("at"), F.array().cast(kind).alias("found"))
     step = lambda s, x: F.when(follows(s["at"], x), F.struct(x["token_end"].alias("at"), F.concat(s["found"], F.array(x)).alias("found"))).otherwise(s)
     walked = ends.join(lines, "model_id").select("prompt_id", F.explode(F.aggregate(F.col("line").cast(kind), start, step)["found"]).alias("x"))
@@ -75,8 +83,6 @@ def coverage(prompts: DataFrame, spans: DataFrame, most_gap: int = 256) -> tuple
 
 def best_nodes(prompts: DataFrame, holders: DataFrame, loads: DataFrame, k: int = 3, attempts: int = 128) -> DataFrame:
     """(prompt_id, node_id, score, rank): nodes by prefix hashes held, less a tenth-part load penalty, above 0."""
-    from fragloom.operators.joins import best
-
     hits = prefix_hashes(prompts, attempts, ascending=True).select("prompt_id", "content_hash").distinct().join(holders, "content_hash").groupBy("prompt_id", "node_id").agg(F.count("*").alias("hits"))
     scored = hits.join(loads, "node_id").withColumn("score", F.greatest(F.lit(0), F.col("hits") - F.floor(F.col("load") * 10).cast("long"))).where("score > 0")
     return best(scored, ["prompt_id"], [F.col("score").desc(), F.col("seq")], k).select("prompt_id", "node_id", "score", "rank")

@@ -312,10 +312,9 @@ def optimal_nodes(spark, d):
 def reconstruct(spark, d):
     """Context of each prompt rebuilt from the windows of its model's other prompts: coverage and missing stretches."""
     prompts = T.prompts(spark, d)
-    stored = W.token_windows(prompts.where("prompt_id % 2 = 0"), 48).where("token_start >= 0").select("model_id", "token_start", "token_end", "content_hash")
-    few = stored.where(F.substring("content_hash", 1, 1) < "4")
-    ends = prompts.where("prompt_id % 2 = 1").select("prompt_id", "model_id", F.size("tokens").alias("length"), F.lit(-1).alias("at"))
-    spans = R.extend(few, ends)
-    got, missing = R.coverage(prompts.where("prompt_id % 2 = 1"), spans)
+    stored = W.token_windows(prompts, 48).select("prompt_id", "model_id", "token_start", "token_end", "content_hash")
+    ends = prompts.select("prompt_id", "model_id", F.size("tokens").alias("length"), F.lit(-1).alias("at"))
+    spans = R.extend(stored, ends, owner="prompt_id")
+    got, missing = R.coverage(prompts, spans)
     holes = missing.groupBy("prompt_id").agg(F.count("*").alias("gaps"), F.count_if("prefill").alias("prefilled"))
     return got.join(holes, "prompt_id", "left").select("prompt_id", "length", "covered", F.round("ratio", 6).alias("ratio"), F.coalesce("gaps", F.lit(0)).alias("gaps"), F.coalesce("prefilled", F.lit(0)).alias("prefilled"))

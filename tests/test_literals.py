@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fragloom.functions import hashing as H
 from fragloom.functions import throughput as T
 from fragloom.operators import caches, decisions, graph, inventory, joins, placement, reconstruct, vectors, windows, workload
-from fragloom.plans import model
+from fragloom.plans import decision_queries, model
 from fragloom.sources import tables
 
 
@@ -200,6 +200,22 @@ def test_reconstruction(spark):
     assert sorted((r.gap_start, r.gap_end, r.prefill) for r in missing.collect()) == [(100, 299, False), (341, 699, True)]
 
 
+def test_reconstruct_takes_every_prompt_and_the_windows_of_all_others(spark, tmp_path):
+    long, short = " ".join(f"a{i}" for i in range(130)), " ".join(f"b{i}" for i in range(96))
+    docs = [(1, long, "en", "s"), (2, short, "en", "s"), (3, short, "de", "s"), (4, long + " end", "de", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.prompt_id: (r.length, r.covered, r.gaps) for r in decision_queries.reconstruct(spark, str(tmp_path)).collect()}
+    # the tail of the longer prompt of each model is held by no other prompt
+    assert got == {1: (130, 96, 1), 2: (96, 96, 0), 3: (96, 96, 0), 4: (131, 96, 1)}
+
+
+def test_own_fragments_do_not_extend_a_prompt(spark):
+    stored = spark.createDataFrame([("m", 0, 9, "a", 1), ("m", 0, 9, "b", 2), ("m", 0, 9, "c", 3), ("m", 10, 19, "d", 1)], "model_id string, token_start int, token_end int, content_hash string, prompt_id long")
+    ends = spark.createDataFrame([(i, "m", 20, -1) for i in (1, 2, 3)], "prompt_id long, model_id string, length int, at int")
+    found = {(r.prompt_id, r.content_hash) for r in reconstruct.extend(stored, ends, owner="prompt_id").collect()}
+    assert found == {(1, "b"), (2, "a"), (2, "d"), (3, "a"), (3, "d")}
+
+
 def test_fragment_checks_and_codecs(spark):
     rows = spark.createDataFrame([("h", "m", 0, 1, 0, 9, 10, 1.0, 0.5, 1), ("i", "m", 0, 1, 0, 9, -1, 1.0, 0.5, 1), ("j", "m", 0, 1, 0, 9, 1, 1.0, None, 1)], tables.FRAGMENT_SCHEMA)
     fine, bad = tables.valid_fragments(rows)
