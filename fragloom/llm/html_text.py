@@ -1,24 +1,29 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are aligned by simple tree matching: the host's reference page (its smallest page_id with any html)
-against each other page, on the trees of their tags. A node of the reference whose text most of the aligned pages
-repeat is template; the others are slots that hold content. A page keeps the text blocks of its article (the marked
-one, or else the whole body) that are not template and not in a menu, header, footer, sidebar, notice, advert, form or
-reader comment.
-
-What is shuffled by host is a compact tree of tags and text hashes, not html; only lists of template blocks come back
-to the pages. Copies and near copies of an article share its blocks too, so a block is template only where the pages
-that repeat it tell different stories: at least TEMPLATE_PAGES of them, and TEMPLATE_SHARE of them, by the smallest hash
-of a page's word triples (near copies share it). Inside a marked article it must also be short (TEMPLATE_WORDS).
-
-Defined cases: null or empty html gives an empty text; a page without a host stands alone; null page_ids are kept;
-repeated rows come back as often as they came in; an empty table gives an empty result; other columns are ignored.
+Pages of one host and layout (a hash of the tags of the tree's two upper levels) are aligned by simple tree matching:
+the layout's reference page, its smallest page_id, against each other page, on the trees of their tags. Aligned nodes
+whose text stays the same are template; the others are slots that hold content. A page keeps the text blocks of its
+article (the marked one, or else the whole body) that are not template and not in a menu, header, footer, sidebar,
+notice, advert, form or reader comment. Only elements whose tag, role or whole class name says so are such parts; in an
+article that goes for containers, not for paragraphs.
+
+What is shuffled is a compact tree of tags and text hashes, not html; only lists of template blocks come back to the
+pages. A block repeated at its node by TEMPLATE_SHARE of the aligned pages is a candidate. Copies and near copies of
+an article share its blocks too, so pages are counted once a story: the smallest hash of the word triples of what is no
+candidate (near copies share it), for pages where that is at least a third of the words. A candidate is template where
+two stories or more, and TEMPLATE_SHARE of the stories at its node, hold it.
+
+Defined cases: null or empty html gives an empty text; a page without a host stands alone; null page_ids are kept (the
+largest, as reference); repeated rows come back as often as they came in; broken markup is read in one pass, and where
+a quote in a tag never closes, tags end at the next ">" from there on; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -27,9 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fragloom.llm.common import byte_rows, cut, slices
+from fragloom.llm.common import byte_rows, cut, id_of, slices
 
-TEMPLATE_SHARE, TEMPLATE_PAGES, TEMPLATE_WORDS, LARGE_HOSTS, BROADCAST_ROWS = 0.6, 5, 12, 256, 100_000
+TEMPLATE_SHARE, STORIES, OWN_SHARE, LARGE_HOSTS, BROADCAST_ROWS = 0.6, 2, 3, 256, 100_000
 # Element and class names of HTML and of common page layouts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp".split())
@@ -40,10 +45,16 @@ HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 SKIPPED = frozenset("script style noscript template nav footer aside form button select textarea iframe svg object canvas dialog head title menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login"
-    " sidebar aside menu nav navbar navigation breadcrumb breadcrumbs toolbar footer masthead comment comments disqus respond reply replies discussion share sharing social related recommended widget pagination pager skip".split()
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promoted banner popup modal overlay notice site-notice"
+    " cookie cookies cookie-notice cookie-banner cookie-bar cookie-consent cookie-message consent gdpr gdpr-banner newsletter newsletter-signup newsletter-box subscribe subscribe-box signup login"
+    " sidebar side-bar menu main-menu nav navbar navigation main-navigation breadcrumb breadcrumbs toolbar footer site-footer page-footer site-header masthead"
+    " comments comment comment-list comments-area comments-section comment-section reader-comments user-comments comment-form disqus disqus_thread respond replies"
+    " share-buttons share-links social-share social-links social-media related-posts related-articles related-links recommended-articles widget pagination pager skip-link".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Parts of text; in an article their class says nothing about whether they belong to it.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr caption figcaption q".split()) | INLINE
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 
@@ -62,8 +73,10 @@ def _role(tag: str, raw: str, inside: bool) -> bool:
         return True
     if a.get("role", "").lower() in ROLES and tag not in ("html", "body", "main", "article"):
         return True
-    names = set(re.split(r"[^a-z0-9]+", f"{a.get('class', '')} {a.get('id', '')}".lower()))
-    return tag not in ("html", "body", "main", "article") and bool(names & MARKS) or not inside and "header" in names
+    if tag in ("html", "body", "main", "article") or inside and tag in TEXTUAL:
+        return False
+    names = set(f"{a.get('class', '')} {a.get('id', '')}".lower().split())
+    return bool(names & MARKS) or not inside and bool(names & {"header", "page-header"})
 
 
 class Tree:
@@ -72,20 +85,34 @@ class Tree:
     blocks: (element, text): what stands between two block boundaries, white space as one space."""
 
     def __init__(self, page: str):
-        self.tags, self.parents, self.skipped, self.inside = ["#"], [-1], [False], [False]
+        self.tags, self.parents, self.skipped, self.inside, self.holder = ["#"], [-1], [False], [False], [0]
         self.blocks: list[tuple[int, str]] = []
-        stack, self._text = [0], []
+        self._open: Counter = Counter()
+        stack, self._text, tag_at = [0], [], TAG
         at, end = 0, len(page)
+        no_more = page.rfind(">")
         while at < end:
-            m = TOKEN.search(page, at)
-            if not m:
+            start = page.find("<", at)
+            if start < 0 or start > no_more:
                 self._text.append((stack[-1], page[at:]))
                 break
-            if m.start() > at:
-                self._text.append((stack[-1], page[at : m.start()]))
-            at = m.end()
-            if not m[2]:
+            if start > at:
+                self._text.append((stack[-1], page[at:start]))
+            mark = page[start + 1 : start + 2]
+            if mark in ("!", "?"):
+                comment = page.startswith("<!--", start)
+                close = page.find("-->" if comment else ">", start + (4 if comment else 2))
+                at = end if close < 0 else close + (3 if comment else 1)
+                continue
+            if not (mark.isascii() and mark.isalpha() or mark == "/" and page[start + 2 : start + 3].isascii() and page[start + 2 : start + 3].isalpha()):
+                self._text.append((stack[-1], "<"))
+                at = start + 1
                 continue
+            m = tag_at.match(page, start)
+            if not m:  # a quote that never closes: from here on a tag ends at the next ">"
+                tag_at = LOOSE_TAG
+                m = tag_at.match(page, start)
+            at = m.end()
             tag = m[2].lower()
             if m[1]:
                 self._close(stack, tag)
@@ -99,57 +126,61 @@ class Tree:
             self.tags.append(tag)
             self.parents.append(up)
             self.inside.append(inside)
+            self.holder.append(self.holder[up] if tag in INLINE else i)
             self.skipped.append(self.skipped[up] or _role(tag, m[3] or "", inside))
             if tag in RAW:
-                close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                close = re.compile(rf"</{tag}\s*+>", re.I).search(page, at)
                 at = close.end() if close else end
             elif tag not in VOID and not (m[3] or "").endswith("/"):
                 stack.append(i)
+                self._open[tag] += 1
         self._flush()
 
+    def _cut(self, stack: list[int], k: int) -> None:
+        for i in stack[k:]:
+            self._open[self.tags[i]] -= 1
+        del stack[k:]
+
     def _imply(self, stack: list[int], tag: str) -> None:
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and self._open["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 name = self.tags[stack[k]]
                 if name == "p":
                     self._flush()
-                    del stack[k:]
+                    self._cut(stack, k)
                     break
                 if name not in INLINE:
                     break
-        if tag in SAME:
+        if tag in SAME and any(self._open[x] for x in SAME[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 name = self.tags[stack[k]]
                 if name in HOLDS.get(tag, ()):
                     break
                 if name in SAME[tag]:
                     self._flush()
-                    del stack[k:]
+                    self._cut(stack, k)
                     if tag in ("li", "dt", "dd", "td", "th", "option"):
                         break
 
     def _close(self, stack: list[int], tag: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tags[stack[k]] == tag:
-                if tag not in INLINE or any(self.tags[x] not in INLINE for x in stack[k:]):
-                    self._flush()
-                del stack[k:]
-                return
+        if self._open[tag]:
+            for k in range(len(stack) - 1, 0, -1):
+                if self.tags[stack[k]] == tag:
+                    if tag not in INLINE or any(self.tags[x] not in INLINE for x in stack[k:]):
+                        self._flush()
+                    self._cut(stack, k)
+                    return
         if tag not in INLINE:
             self._flush()
 
     def _flush(self) -> None:
         if self._text:
-            text = " ".join(entities.unescape("".join(t for i, t in self._text if not self.skipped[i])).split())
+            shown = [(i, t) for i, t in self._text if not self.skipped[i]]
+            text = " ".join(entities.unescape("".join(t for _, t in shown)).split())
             if text:
-                self.blocks.append((next(self._block_of(i) for i, _ in self._text if not self.skipped[i]), text))
+                self.blocks.append((self.holder[shown[0][0]], text))
             self._text = []
 
-    def _block_of(self, i: int) -> int:
-        while self.tags[i] in INLINE:
-            i = self.parents[i]
-        return i
-
     def kept(self) -> list[int]:
         """Numbers of the blocks outside all skipped parts, of the marked article if that has text."""
         marked = [k for k, (i, _) in enumerate(self.blocks) if self.inside[i]]
@@ -158,30 +189,30 @@ class Tree:
 
 # --- compact trees and their alignment
 
+def _triple(text: str) -> int:
+    """The smallest hash of the word triples."""
+    words = text.encode().split()
+    return min(xxhash.xxh32_intdigest(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2)))
+
+
 def compact(tree: Tree) -> dict:
-    """Elements that are not inline, with their parents' numbers, tag hashes, and of each kept block its element, hash and words."""
-    number, parents, tags = {}, [], []
+    """Elements that are not inline, with their parents' numbers and tag hashes, and of each kept block its element, hash,
+    number of words and smallest triple; layout: a hash of the tags of the two upper levels, each run of equals once."""
+    number, parents, tags, depth, upper = {}, [], [], [], []
     for i, tag in enumerate(tree.tags):
         if tag not in INLINE and tag != "br":
             number[i] = len(parents)
-            up = tree.parents[i]
-            while up >= 0 and up not in number:
-                up = tree.parents[up]
-            parents.append(number.get(up, -1))
+            up = number[tree.holder[tree.parents[i]]] if i else -1
+            parents.append(up)
             tags.append(xxhash.xxh32_intdigest(tag) & 0x7FFF)
+            depth.append(depth[up] + 1 if i else 0)
+            if depth[-1] <= 2 and upper[-1:] != [tag]:
+                upper.append(tag)
     kept = tree.kept()
-    words = " ".join(tree.blocks[k][1] for k in kept).encode().split()
-    story = min((xxhash.xxh32_intdigest(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0)
-
-    def place(i):
-        while i not in number:
-            i = tree.parents[i]
-        return number[i]
-
+    texts = [tree.blocks[k][1] for k in kept]
     return {
-        "story": story, "parents": parents, "tags": tags, "blocks": kept, "places": [place(tree.blocks[k][0]) for k in kept],
-        "hashes": [xxhash.xxh64_intdigest(tree.blocks[k][1].encode()) - (1 << 63) for k in kept],
-        "short": [len(tree.blocks[k][1].split()) <= TEMPLATE_WORDS or not tree.inside[tree.blocks[k][0]] for k in kept],
+        "layout": xxhash.xxh64_intdigest(" ".join(upper)) - (1 << 63), "parents": parents, "tags": tags, "blocks": kept, "places": [number[tree.blocks[k][0]] for k in kept],
+        "hashes": [xxhash.xxh64_intdigest(t.encode()) - (1 << 63) for t in texts], "words": [len(t.split()) for t in texts], "triples": [_triple(t) for t in texts],
     }
 
 
@@ -210,10 +241,14 @@ class Matcher:
 
     def table(self, a: tuple, b: tuple) -> np.ndarray:
         """The dynamic program over two child lists: rows by a, columns by b."""
-        gain = np.array([[self.size(x, y) for y in b] for x in a], np.int64).reshape(len(a), len(b))
-        best = np.zeros((len(a) + 1, len(b) + 1), np.int64)
-        for i in range(len(a)):
-            np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + gain[i]), out=best[i + 1, 1:])
+        left, right = dict.fromkeys(a), dict.fromkeys(b)
+        for shapes in (left, right):
+            shapes.update({x: i for i, x in enumerate(shapes)})
+        known = np.array([[self.size(x, y) for y in right] for x in left], np.int32).reshape(len(left), len(right))
+        rows, columns = [left[x] for x in a], np.array([right[y] for y in b], np.int64)
+        best = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+        for i, row in enumerate(rows):
+            np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + known[row][columns]), out=best[i + 1, 1:])
         return best
 
     def size(self, x: int, y: int) -> int:
@@ -223,7 +258,9 @@ class Matcher:
         got = self.sizes.get((x, y))
         if got is None:
             a, b = self.trees[x][1], self.trees[y][1]
-            got = 1 + (int(self.table(a, b)[-1, -1]) if a and b else 0)
+            same = next((i for i, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
+            got = 1 + sum(self.size(p, p) for p in a[:same])  # equal first subtrees are best matched with each other
+            got += int(self.table(a[same:], b[same:])[-1, -1]) if a[same:] and b[same:] else 0
             self.sizes[x, y] = got
         return got
 
@@ -237,6 +274,9 @@ class Matcher:
             a, b = ca[i], cb[j]
             if not a or not b:
                 continue
+            same = next((k for k, (x, y) in enumerate(zip(a, b)) if sa[x] != sb[y]), min(len(a), len(b)))
+            todo += zip(a[:same], b[:same])
+            a, b = a[same:], b[same:]
             best = self.table(tuple(sa[x] for x in a), tuple(sb[y] for y in b))
             p, q = len(a), len(b)
             while p and q:
@@ -250,7 +290,7 @@ class Matcher:
         return out
 
 
-def aligned_blocks(matcher: Matcher, reference: dict, page: dict) -> list[tuple[int, int, int]]:
+def aligned_blocks(matcher: Matcher, reference: dict, page: dict) -> list[tuple[int, int]]:
     """(block of the page, block of the reference, place among its node's blocks) for blocks at matched nodes."""
     by_node: dict[tuple[int, int], int] = {}
     seen: Counter = Counter()
@@ -271,64 +311,86 @@ def with_host(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
 
 
-COMPACT = "parents array<int>, tags array<int>, blocks array<int>, places array<int>, hashes array<long>, short array<boolean>"
-FIELDS = ["parents", "tags", "blocks", "places", "hashes", "short"]
+COMPACT = "parents array<int>, tags array<int>, blocks array<int>, places array<int>, hashes array<long>, words array<int>, triples array<long>"
+KINDS = {"parents": pa.int32(), "tags": pa.int32(), "blocks": pa.int32(), "places": pa.int32(), "hashes": pa.int64(), "words": pa.int32(), "triples": pa.int64()}
+REFERENCE = ("parents", "tags", "places")
 
 
 def compact_trees(hosted: DataFrame) -> DataFrame:
-    kinds = [pa.list_(pa.int32())] * 4 + [pa.list_(pa.int64()), pa.list_(pa.bool_())]
+    """(g, pid, page_id, page_hash, ...): g numbers host and layout, pid is never null."""
 
     def run(batches):
         for batch in slices(batches, 256):
             rows = [compact(Tree(x.decode("utf-8", "replace"))) for x in byte_rows(batch, "html")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([r["story"] for r in rows], pa.int64()), *(pa.array([r[f] for r in rows], t) for f, t in zip(FIELDS, kinds))], ["host", "page_id", "page_hash", "story", *FIELDS])
+            g = [xxhash.xxh64_intdigest(host, r["layout"] & 0xFFFFFFFFFFFFFFFF) - (1 << 63) for host, r in zip(batch.column(0).to_pylist(), rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), *(batch.column(i) for i in (1, 2)), *(pa.array([r[f] for r in rows], pa.list_(t)) for f, t in KINDS.items())], ["g", "page_id", "page_hash", *KINDS])
 
     texts = hosted.where("host <> '' and html <> ''").select("host", "page_id", F.xxhash64("html").alias("page_hash"), "html")
-    return texts.mapInArrow(run, f"host string, page_id long, page_hash long, story long, {COMPACT}")
-
-
-def _tree_of(row: dict, prefix: str, matcher: Matcher) -> dict:
-    got = {f: row[prefix + f] for f in FIELDS}
-    return got | {"shaped": matcher.shape(got["parents"], got["tags"])}
+    return texts.mapInArrow(run, f"g long, page_id long, page_hash long, {COMPACT}").withColumn("pid", id_of("page_id"))
 
 
-def template_blocks(hosted: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLATE_PAGES) -> DataFrame:
-    """(page_id, page_hash, gone): the blocks of each page that are template, for pages that have any."""
-    trees = cut(compact_trees(hosted))
-    firsts = trees.groupBy("host").agg(F.min(F.struct("page_id", "page_hash")).alias("at"), F.count("*").alias("pages")).where(F.col("pages") >= least).select("host", "at.*")
-    known = trees.join(firsts, ["host", "page_id", "page_hash"], "left_semi").dropDuplicates(["host"])
-    references = known.select("host", *[F.col(f).alias("ref_" + f) for f in FIELDS])
-    # a host with more than one in LARGE_HOSTS of all pages (there are fewer than that) is dealt out in as many parts as its share holds
-    counted = cut(trees.groupBy("host").agg(F.count("*").alias("pages")))
-    total = counted.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
-    large = F.broadcast(counted.where(F.col("pages") * LARGE_HOSTS > total).select("host", F.ceil(F.col("pages") * LARGE_HOSTS / max(1, total)).alias("parts")))
-    parted = lambda rows: rows.join(large, "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    references = parted(references).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
-    dealt = parted(trees).withColumn("part", F.pmod(F.xxhash64("page_id", "page_hash"), "parts")).drop("parts")
-    schema = "host string, page_id long, page_hash long, story long, node int, hash long, block int"
+def aligned(dealt: DataFrame, references: DataFrame) -> DataFrame:
+    """The pages with `nodes`: for each kept block the reference's block it stands for, -1 for none."""
 
     def run(batches):
-        matcher, host, reference = Matcher(), None, None
+        sys.setrecursionlimit(1_000_000)  # trees may be as deep as pages are long
+        matcher, held, reference = Matcher(), None, None
         for batch in slices(batches, 256):
             if len(matcher.trees) > 200_000 or len(matcher.sizes) > 1_000_000:
-                matcher, host = Matcher(), None
-            out = []
+                matcher, held = Matcher(), None
+            nodes = []
             for row in batch.to_pylist():
-                if row["host"] != host:
-                    host, reference = row["host"], _tree_of(row, "ref_", matcher)
-                page = _tree_of(row, "", matcher)
-                out += [(host, row["page_id"], row["page_hash"], row["story"], node, page["hashes"][k], page["blocks"][k]) for k, node in aligned_blocks(matcher, reference, page) if page["short"][k]]
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["host", "page_id", "page_hash", "story", "node", "hash", "block"])
+                if row["g"] != held:
+                    held, reference = row["g"], {f: row["ref_" + f] for f in REFERENCE}
+                    reference["shaped"] = matcher.shape(reference["parents"], reference["tags"])
+                row["shaped"] = matcher.shape(row["parents"], row["tags"])
+                mates = dict(aligned_blocks(matcher, reference, row))
+                nodes.append([mates.get(k, -1) for k in range(len(row["places"]))])
+            names = ["g", "part", "page_id", "page_hash", "blocks", "hashes", "words", "triples"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(nodes, pa.list_(pa.int32()))], [*names, "nodes"])
 
-    held = cut(dealt.join(references, ["host", "part"]).drop("part").mapInArrow(run, schema))
-    texts = held.groupBy("host", "node", "hash").agg(F.approx_count_distinct("story").alias("stories"), F.count("*").alias("n"))
-    nodes = held.groupBy("host", "node").agg(F.count("*").alias("all"))
-    fixed = texts.join(nodes, ["host", "node"]).where((F.col("n") >= share * F.col("all")) & (F.col("stories") >= F.greatest(F.lit(least), share * F.col("n")))).select("host", "node", "hash")
-    return held.join(fixed, ["host", "node", "hash"]).groupBy("page_id", "page_hash").agg(F.collect_set("block").alias("gone"))
+    schema = "g long, part int, page_id long, page_hash long, blocks array<int>, hashes array<long>, words array<int>, triples array<long>, nodes array<int>"
+    return dealt.join(references, ["g", "part"]).mapInArrow(run, schema)
 
 
-def extract(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLATE_PAGES) -> DataFrame:
+def template_blocks(hosted: DataFrame, share: float = TEMPLATE_SHARE, least: int = STORIES) -> DataFrame:
+    """(page_id, page_hash, gone): the blocks of each page that are template, for pages that have any."""
+    trees = cut(compact_trees(hosted))
+    counted = cut(trees.groupBy("g").agg(F.min(F.struct("pid", "page_hash")).alias("at"), F.count("*").alias("pages")).where("pages > 1"))
+    total = counted.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    # a layout with more than one in LARGE_HOSTS of all pages (there are fewer than that) is dealt out in as many parts as its share holds
+    large = F.broadcast(counted.where(F.col("pages") * LARGE_HOSTS > total).select("g", F.ceil(F.col("pages") * LARGE_HOSTS / max(1, total)).cast("int").alias("parts")))
+    parted = lambda rows: rows.join(large, "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    in_all_parts = lambda rows: parted(rows).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    first = trees.join(counted.select("g", "at.*"), ["g", "pid", "page_hash"], "left_semi").dropDuplicates(["g"])
+    references = in_all_parts(first.select("g", *[F.col(f).alias("ref_" + f) for f in REFERENCE]))
+    dealt = parted(trees).withColumn("part", F.pmod(F.xxhash64("page_id", "page_hash"), "parts").cast("int"))
+    pages = cut(aligned(dealt.drop("parts", "pid"), references))
+
+    def listed(blocks: DataFrame) -> DataFrame:
+        """pages with `known`: those of their layout's (node, hash) in blocks; a layout has at most its nodes / share of them."""
+        lists = blocks.groupBy("g").agg(F.collect_list(F.struct("node", "hash")).alias("known"))
+        return pages.join(in_all_parts(lists), ["g", "part"])
+
+    own = F.arrays_zip(F.col("nodes").alias("node"), F.col("hashes").alias("hash"))
+    texts = cut(pages.select("g", F.explode(own).alias("b")).where("b.node >= 0").groupBy("g", "b.node", "b.hash").count())
+    nodes = texts.groupBy("g", "node").agg(F.sum("count").alias("all"))
+    maybe = cut(texts.where("count > 1").join(nodes, ["g", "node"]).where(F.col("count") >= share * F.col("all")).select("g", "node", "hash"))
+
+    whole = F.arrays_zip("nodes", "hashes", "blocks", "words", "triples")
+    hit = lambda b: F.array_contains("known", F.struct(b["nodes"].alias("node"), b["hashes"].alias("hash")))
+    split = listed(maybe).withColumn("fixed", F.filter(whole, hit)).withColumn("free", F.filter(whole, lambda b: ~hit(b)))
+    words = lambda name: F.aggregate(name, F.lit(0), lambda n, b: n + b["words"])
+    told = split.where((words("free") > 0) & (words("free") * OWN_SHARE >= words("free") + words("fixed")))
+    told = cut(told.select("g", F.array_min(F.col("free")["triples"]).alias("story"), F.array_distinct(F.transform("fixed", lambda b: F.struct(b["nodes"].alias("node"), b["hashes"].alias("hash")))).alias("fixed"), F.array_intersect("nodes", F.col("known")["node"]).alias("met")))
+    stories = told.select("g", "story", F.explode("fixed").alias("b")).select("g", "b.*", "story").distinct().groupBy("g", "node", "hash").agg(F.count("*").alias("stories"))
+    met = told.select("g", "story", F.explode("met").alias("node")).distinct().groupBy("g", "node").agg(F.count("*").alias("of"))
+    template = cut(stories.join(met, ["g", "node"]).where(F.col("stories") >= F.greatest(F.lit(least), share * F.col("of"))).select("g", "node", "hash"))
+    gone = F.transform(F.filter(F.arrays_zip("nodes", "hashes", "blocks"), hit), lambda b: b["blocks"])
+    return listed(template).select("page_id", "page_hash", gone.alias("gone")).where(F.size("gone") > 0).dropDuplicates(["page_id", "page_hash"])
+
+
+def extract(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = STORIES) -> DataFrame:
     """(page_id, url, text, blocks): blocks are the kept text blocks, joined by a space in text."""
     hosted = with_host(pages)
     gone = cut(template_blocks(hosted, share, least))
