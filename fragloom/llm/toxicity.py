@@ -6,9 +6,8 @@ into overlapping windows of WINDOW words, STRIDE apart, up to its end; each wind
 its highest window's. Labels are document-wide, so training takes, in each round after the first, the window of a
 document that scores highest.
 
-Training uses at most SAMPLE labelled documents (a documented bound: the first by a seeded hash) and of each at most
-TRAIN_WINDOWS windows, none of them held out (crc32 of the doc_id as text, mod 3, equal to 1). Scoring covers every
-window of every text. The weights are a few hundred kB, whatever the input.
+Training uses at most SAMPLE labelled documents (a documented bound: the first by a seeded hash) with all their windows,
+none of them held out (crc32 of the doc_id as text, mod 3, equal to 1). Scoring covers every window of every text. The weights are a few hundred kB, whatever the input.
 
 Defined cases: null or empty text is one empty window, whose pooled state is zero; a null id is not labelled, counts
 as not held out and comes back null; repeated rows come back as often as they came in; without any labelled rows of
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from fragloom.llm.common import byte_rows, slices
 
 WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, WORD_ROWS, CHAR_ROWS = 48, 40, 8, 8, 16, 1 << 15, 1 << 15
-SAMPLE, TRAIN_WINDOWS, ROUNDS, STEPS, BATCH, RATE, SEED, THRESHOLD = 6000, 8, 6, 500, 128, 0.01, 7, 0.7
+SAMPLE, ROUNDS, STEPS, BATCH, RATE, SEED, THRESHOLD = 4000, 6, 500, 128, 0.01, 7, 0.7
 CACHE_WORDS, SCORE_BATCH, MEAN_WORDS, FRESH_WORDS = 200_000, 2048, 16_384, 16_384
 GRAMS = (3, 4, 5)
 EDGES = b".,;:!?\"'()[]{}|*#-"
@@ -258,13 +257,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed
     def run(batches):
         for batch in slices(batches):
             out = []
-            for i, text in zip(batch.column(0).to_pylist(), byte_rows(batch)):
+            for text in byte_rows(batch):
                 words = text.lower().split()
-                cuts = windows(len(words))
-                if len(cuts) > TRAIN_WINDOWS:
-                    pick = np.random.default_rng([seed, i & 0x7FFFFFFF]).permutation(len(cuts))[:TRAIN_WINDOWS]
-                    cuts = [cuts[j] for j in sorted(pick)]
-                out.append([b" ".join(words[s:e]) for s, e in cuts])
+                out.append([b" ".join(words[s:e]) for s, e in windows(len(words))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.binary())), batch.column(2)], ["doc_id", "parts", "toxic"])
 
     texts = docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text"))
