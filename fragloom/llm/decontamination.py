@@ -8,8 +8,10 @@ bit-parallel distance, as the least number of edits that turn the item into any
 The benchmark reaches the document tasks in blocks of at most BLOCK_CHARS characters, one pass over the documents a
 block, so what a task holds is bounded whatever the benchmark's size, and no item or hit is dropped.
 
-Defined cases: a null text matches nothing; an item that is null or holds fewer than MIN_CHARS characters is left out
-(it would match by chance); null ids are kept; repeated rows are judged each; an empty table on either side gives an
+An item of fewer than MIN_CHARS characters is looked for as it is (k = 0), between word bounds.
+
+Defined cases: a null text matches nothing; an item that is null or holds no word cannot be found; of several nearest
+passages the first counts; null ids are kept; repeated rows are judged each; an empty table on either side gives an
 empty result; other columns are ignored (kept by drop_contaminated).
 """
 
@@ -71,7 +73,7 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float):
         import ahocorasick
 
-        self.items = [(i, t, int(len(t) * rate), masks_of(t)) for i, t in items]
+        self.items = [(i, t, int(len(t) * rate) if len(t) >= MIN_CHARS else 0, masks_of(t)) for i, t in items]
         self.found: dict[str, list[tuple[int, int]]] = {}
         for slot, (_, t, k, _) in enumerate(self.items):
             for offset, piece in pieces(t, k):
@@ -90,6 +92,10 @@ class Matcher:
         out = []
         for slot, starts in spots.items():
             item, t, k, masks = self.items[slot]
+            if len(t) < MIN_CHARS:
+                starts = [s for s in starts if text[max(0, s - 1) : s] in ("", " ") and text[s + len(t) : s + len(t) + 1] in ("", " ")]
+                out += [(item, 0, min(starts), min(starts) + len(t))] if starts else []
+                continue
             best, place = k + 1, None
             low = high = None
             for s in [*sorted(starts), None]:
@@ -112,7 +118,7 @@ def benchmark_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS):
     held, size = [], 0
     for row in rows.orderBy("item_id", "text").toLocalIterator():
         text = plain(row.text)
-        if len(text) < MIN_CHARS:
+        if not text:
             continue
         if held and size + len(text) > block_chars:
             yield held
