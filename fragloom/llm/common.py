@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A null id is handled as this one, the largest, and given back as null.
@@ -26,15 +26,34 @@ def id_back(name: str):
     return F.when(F.col(name) != NO_ID, F.col(name))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names; a temporary one only where driver and tasks are one process, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="checkpoints-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder that the session names (a local one only where none is named, as in tests)."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Checkpoint into the shared folder."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def numbered(rows: DataFrame, name: str, *order) -> DataFrame:
+    """rows with their place (from 1) in the order, which must be total: sorted ranges, and the sizes of those before."""
+    part, mine = "_part", Window.partitionBy("_part").orderBy(*order)
+    laid = cut(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    sizes = laid.groupBy(part).agg(F.count("*").alias("_size"))  # a row a partition
+    before = F.sum("_size").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(part, F.coalesce(before, F.lit(0)).alias("_before"))
+    return laid.join(F.broadcast(sizes), part).withColumn(name, F.row_number().over(mine) + F.col("_before")).drop(part, "_before")
+
+
 def byte_rows(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The column's texts as UTF-8 bytes, null as empty."""
     return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]

@@ -7,20 +7,23 @@ size. In a shard, documents lie in a seeded order; a quota of q over n blocks ta
 seeded q mod n of them once more. A document's taken words are those of its blocks' parts that lie in it.
 
 apportion() finds the same seats as ranking all quotients would: one pass over the members sums the seats under a grid
-of divisors, and only the quotients between two neighbouring divisors are ranked. So a source that holds a third of
-all rows is many shards, and no task sees all of its documents.
+of divisors, and only the quotients between two neighbouring divisors are ranked, by sorted ranges. No shard is dealt
+more than CAP times its blocks; what it cannot take goes to the next quotients. So a source that holds a third of all
+rows is many shards, and no task sees all of its documents, shards or quotients.
 
 Defined cases: null text has size 0 and a taken of 0; a null source is a source of its own, last in order; null ids are
 kept; repeated rows each have their own place in the order; an empty table gives an empty result; other columns are
-ignored (kept by mix_documents).
+ignored (kept by mix_documents, but for those named as the four it makes, which it replaces).
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fragloom.llm.common import cut
+from fragloom.llm.common import cut, numbered
 
 WEIGHTS, SHARE, CAP, BLOCK, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 16, 20240
 SHARD_WORDS, SHARD_ROWS, GRID, BROADCAST_SOURCES = 65_536, 4096, 32, 100_000
@@ -39,8 +42,7 @@ def with_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     """sources (source, source_size, ...), one row each, with src (rank from 0), weight and target.
 
     The level that weights are multiplied by only rises, so a round needs no more than two sums."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sources.withColumn("src", F.row_number().over(order) - 1)
+    ranked = numbered(sources, "src", F.col("source").asc_nulls_last()).withColumn("src", (F.col("src") - 1).cast("int"))
     ranked = cut(ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod("src", F.lit(len(weights))) + 1)))
     most = F.col("source_size") * F.lit(float(cap))
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
@@ -54,24 +56,29 @@ def with_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     return ranked.withColumn("target", F.least(most, F.col("weight") * F.lit(level)))
 
 
-def apportion(members: DataFrame, group: list[str], member: list[str], weight: str, seats: str, grid: int = GRID) -> DataFrame:
-    """members with `quota`: the group's seats dealt to its members by highest quotients weight / (2 s - 1).
+def apportion(members: DataFrame, group: list[str], member: list[str], weight: str, seats: str, limit: str | None = None, grid: int = GRID) -> DataFrame:
+    """members with `quota`: the group's seats dealt to its members by highest quotients weight / (2 s - 1), s from 1 to
+    the member's limit.
 
     Ties go by the member columns. Every row of a group carries the group's seats. A group without weight gets none."""
+    most = F.col(limit).cast("long") if limit else F.lit(1 << 62)
     per = members.groupBy(*group).agg(F.sum(F.col(weight)).cast("double").alias("_w"), F.count("*").alias("_n"), F.max(seats).alias("_h"))
     low, wide = F.greatest(F.lit(0.0), F.col("_h") - F.col("_n") / 2) / F.col("_w"), F.col("_n") / F.col("_w")
-    held = lambda rate: F.floor(F.col(weight) * rate + 0.5)
+    held = lambda rate: F.least(most, F.floor(F.col(weight) * rate + 0.5))
     rated = members.join(per.where("_w > 0").withColumn("_low", low).withColumn("_step", 1.01 * wide / grid).drop("_w", "_n"), group)
     rate = lambda j: F.col("_low") + F.col("_step") * j
     sums = rated.groupBy(*group).agg(F.max("_h").alias("_goal"), *[F.sum(held(rate(j))).alias(f"_s{j}") for j in range(grid + 1)])
     at = F.greatest(F.lit(0), sum(F.when(F.col(f"_s{j}") <= F.col("_goal"), 1).otherwise(0) for j in range(grid + 1)) - 1)
     chosen = sums.select(*group, at.alias("_j"))
-    placed = rated.join(chosen, group).withColumn("_base", held(rate(F.col("_j")))).withColumn("_top", held(rate(F.col("_j") + 1)))
+    # past the grid's end only limits hold seats back
+    top = F.when(F.col("_j") < grid, held(rate(F.col("_j") + 1))).otherwise(most if limit else F.col("_base"))
+    placed = cut(rated.join(chosen, group).withColumn("_base", held(rate(F.col("_j")))).withColumn("_top", top))
     short = placed.groupBy(*group).agg((F.max("_h") - F.sum("_base")).alias("_short"))
     extra = placed.where("_top > _base").select(*group, *member, weight, F.explode(F.sequence(F.col("_base") + 1, F.col("_top"))).alias("_s"))
     extra = extra.withColumn("_q", F.col(weight) / (2 * F.col("_s") - 1))
-    ranks = Window.partitionBy(*group).orderBy(F.col("_q").desc(), *member)
-    won = extra.withColumn("_r", F.row_number().over(ranks)).join(short, group).where("_r <= _short").groupBy(*group, *member).agg(F.count("*").alias("_more"))
+    ranked = cut(numbered(extra, "_r", *group, F.col("_q").desc(), *member, "_s"))
+    first = ranked.groupBy(*group).agg(F.min("_r").alias("_first"))
+    won = ranked.join(short.join(first, group), group).where("_r - _first < _short").groupBy(*group, *member).agg(F.count("*").alias("_more"))
     out = placed.join(won, [*group, *member], "left").withColumn("quota", F.col("_base") + F.coalesce("_more", F.lit(0)))
     return out.select(*members.columns, "quota")
 
@@ -89,7 +96,8 @@ def mixture(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float =
     placed = cut(placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("shards"))).withColumn("turn", F.xxhash64(F.lit(seed + 1), "id")))
     per = placed.groupBy("src", "shard").agg(F.sum("size").alias("shard_size"), F.max("source_quota").alias("source_quota"))
     blocks = F.ceil(F.col("shard_size") / block)
-    shares = apportion(per, ["src"], ["shard"], "shard_size", "source_quota").select("src", "shard", blocks.alias("n"), F.least(F.col("quota"), F.floor(blocks * cap)).alias("q"))
+    per = per.withColumn("n", blocks).withColumn("most", F.floor(blocks * cap))
+    shares = apportion(per, ["src"], ["shard"], "shard_size", "source_quota", "most").select("src", "shard", "n", F.col("quota").alias("q"))
     order = Window.partitionBy("src", "shard").orderBy("turn", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     laid = placed.withColumn("end", F.sum("size").over(order)).join(shares, ["src", "shard"], "left")
     start, end = F.col("end") - F.col("size"), F.col("end")
@@ -108,12 +116,19 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     return mixture(cut(rows), **how).select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken")
 
 
+MADE = ("size", "source_size", "target", "taken")
+
+
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
-    """docs' own columns with size, source_size, target and taken, for the documents that the mix takes words of."""
-    made = [c for c in ("size", "source_size", "target", "taken") if c not in docs.columns]
-    share = mix(docs, **how).groupBy(F.col("doc_id").alias("_id")).agg(*[F.max(c).alias(c) for c in made])
-    keep = docs.join(share, docs["doc_id"].cast("long").eqNullSafe(share["_id"])).drop("_id")
-    return keep.where("taken > 0") if "taken" in made else keep
+    """The documents that the mix takes words of: docs' own columns, then size, source_size, target and taken.
+
+    Columns of docs that have one of these four names (in any case) are replaced. Rows that share an id stay together,
+    with the largest of their taken words."""
+    mixed = f"mix_{uuid.uuid4().hex}"
+    share = mix(docs, **how).groupBy(F.col("doc_id").alias(mixed + "_id")).agg(F.struct(*[F.max(c).alias(c) for c in MADE]).alias(mixed))
+    own = [F.col(c) for c in docs.columns if c.lower() not in MADE]
+    kept = docs.join(share, docs["doc_id"].cast("long").eqNullSafe(share[mixed + "_id"])).where(F.col(mixed)["taken"] > 0)
+    return kept.select(*own, *[F.col(mixed)[c].alias(c) for c in MADE])
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
