@@ -8,6 +8,7 @@ from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from fragloom.llm import common, decontamination, licenses, line_dedup, mixing, simhash, substring_dedup, token_counts
 
@@ -61,13 +62,16 @@ def test_line_dedup_matches_brute_force(spark, docs):
     assert sorted(got, key=order) == sorted(want, key=order)
 
 
-def test_line_dedup_heavy_lines_and_stage(spark, monkeypatch, docs):
+def test_line_dedup_by_shards_and_stage(spark, docs):
     want = sorted(map(tuple, line_dedup.line_report(docs).collect()), key=str)
-    monkeypatch.setattr(line_dedup, "HEAVY", 10**6)  # every repeated line of more than two holders is heavy
-    assert sorted(map(tuple, line_dedup.line_report(docs).collect()), key=str) == want
-    out = line_dedup.drop_repeated_lines(docs)
-    assert out.columns == docs.columns
-    assert sorted((r.doc_id, r.text, r.n_chars) for r in out.where("doc_id is not null").collect()) == sorted((w[0], w[3], len(w[3])) for w in want if w[0] is not None)
+    # no broadcast: probes go to their shards, each of which is copied to a task for every third probe
+    assert sorted(map(tuple, line_dedup.line_report(docs, limit=0, part_probes=3).collect()), key=str) == want
+    clashing = docs.withColumns({c: F.lit(1) for c in ("_id", "_gone", "shard", "part", "first", "n")})
+    for how in ({}, {"limit": 0, "part_probes": 3}):
+        out = line_dedup.drop_repeated_lines(clashing, **how)
+        assert out.columns == clashing.columns and out.schema["h"].dataType == docs.schema["h"].dataType
+        assert sorted((r.doc_id, r.text, r.n_chars) for r in out.where("doc_id is not null").collect()) == sorted((w[0], w[3], len(w[3])) for w in want if w[0] is not None)
+        assert line_dedup.drop_repeated_lines(clashing.limit(0), **how).count() == 0
 
 
 def test_perfect_hash_is_minimal():
@@ -78,11 +82,11 @@ def test_perfect_hash_is_minimal():
     h1[:50] = h1[0]  # equal halves must not matter
     slots = line_dedup.mph_slots(line_dedup.mph_build(h1, h2), h1, h2)
     assert sorted(slots.tolist()) == list(range(5000))
-    made = line_dedup.index_arrays(h1, h2, np.arange(5000), np.ones(5000, np.int64))
-    index = line_dedup.Index(made["sizes"], made["bits"], made["fingerprints"], made["firsts"])
-    known, first = index.firsts_of(h1, h2)
-    assert known.all() and (first == np.arange(5000)).all()
-    assert not index.firsts_of(h1 + 1, h2 + 1)[0].any()
+    made = line_dedup.index_arrays(h1, h2, np.arange(5000), 1 + np.arange(5000) % 400)
+    index = line_dedup.Index(*(made[c] for c in line_dedup.ARRAYS))
+    count, first = index.counted(h1, h2)
+    assert (count == np.minimum(255, 1 + np.arange(5000) % 400)).all() and (first == np.where(count > 1, np.arange(5000), -1)).all()
+    assert not index.counted(h1 + (1 << 40), h2 + 1)[0].any()
 
 
 def slow_fingerprint(text):
