@@ -12,13 +12,12 @@ mixing            documents that the mix takes words of stay, with size, source_
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from fragloom.llm import decontamination, line_dedup, mixing, simhash, toxicity
-from fragloom.llm.common import table
+from fragloom.llm.common import shared_folder, table
 
 #: SQL has no word for the classifier, the 64-bit fingerprints or the edit distance within texts.
 ORACLE_SQL = None
@@ -55,10 +54,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole of documents; the tables between them lie in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = f"{base}/pipeline-{uuid.uuid4().hex}/{name}.parquet"
+        path = f"{base}/{name}.parquet"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
