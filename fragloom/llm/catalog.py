@@ -15,5 +15,8 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_toxicity": toxicity.op10_toxicity,
+    # what SQL can express of op6 and op7
+    "license_base": licenses.license_base,
+    "mix_targets": mixing.mix_targets,
 }
-ORACLES = {"op2_line_dedup": line_dedup.ORACLE_SQL}
+ORACLES = {"op2_line_dedup": line_dedup.ORACLE_SQL, "license_base": licenses.BASE_SQL, "mix_targets": mixing.TARGETS_SQL}

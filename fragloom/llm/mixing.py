@@ -133,3 +133,31 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mix_targets(spark, sf_dir: str) -> DataFrame:
+    """What of the mix SQL can express: each document's size, its source's size and target, and that the words taken of
+    the source come within a block a shard of it."""
+    found = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    sums = found.groupBy("source").agg(F.sum("taken").alias("source_taken"), F.max("target").alias("to"), F.max("source_size").alias("of")).select(F.col("source").alias("_source"), (F.abs(F.col("source_taken") - F.col("to")) <= BLOCK * (2 + F.col("of") / SHARD_WORDS)).alias("near_target"))
+    out = found.join(sums, found["source"].eqNullSafe(sums["_source"]))
+    return out.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), (F.col("taken") <= 2 * F.col("size")).alias("within_twice"), "near_target")
+
+
+TARGETS_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, CAST(list_extract([5, 2, 1], (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1) AS DOUBLE) AS w FROM sources
+), ordered AS (
+  -- sources by how early a rising level fills them: those before in this order are full when one is filled
+  SELECT *, sum(2.0 * source_size) OVER before AS full_before, sum(w) OVER (ORDER BY 2.0 * source_size / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_after, 1.5 * sum(source_size) OVER () AS budget
+  FROM weighed WINDOW before AS (ORDER BY 2.0 * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), levels AS (
+  SELECT arg_min((budget - coalesce(full_before, 0)) / w_after, 2.0 * source_size / w) FILTER ((budget - coalesce(full_before, 0)) / w_after * w <= 2.0 * source_size) AS level FROM ordered
+)
+SELECT doc_id, size, source_size, round(least(2.0 * source_size, w * level), 3) AS target, TRUE AS within_twice, TRUE AS near_target
+FROM sized JOIN weighed ON sized.source IS NOT DISTINCT FROM weighed.source CROSS JOIN levels
+"""
