@@ -1,12 +1,12 @@
 """Token counts by offset-mapped attribution.
 
-Each whole document is encoded once. Its tokens' byte spans follow from the lengths of the tokens' byte strings; they
-are merged with the document's section spans (both in order). A token that crosses a boundary goes, by the rule
+Each whole document is encoded once. Its tokens' byte spans follow from the lengths of the tokens' byte strings, and
+their character spans from those; they are merged with the document's section spans (both in order). A token that crosses a boundary goes, by the rule
 "first", to the section that holds its first byte, or by "most" to the one that holds most of its bytes (the earlier of
 equals). So a document's section counts always sum to its tokens.
 
 Sections are the lines of a text; the newline belongs to the line that it ends. Other fields come in as `bounds`, an
-array column of byte offsets where sections start (offset 0 is always one).
+array column of character offsets where sections start (offset 0 is always one).
 
 The tokenizer is a public vocabulary file (ranks of a byte-level BPE), read by the driver from a path that is a
 parameter and sent to the tasks; a vocabulary does not grow with the data.
@@ -60,12 +60,13 @@ def attribute(sizes: np.ndarray, starts: np.ndarray, rule: str) -> np.ndarray:
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, rule: str = "first", bounds: str | None = None) -> DataFrame:
-    """(doc_id, section, start, stop, tokens, doc_tokens): a row for each section of each row of docs."""
+    """(doc_id, section, start, stop, start_byte, stop_byte, tokens, doc_tokens): a row for each section of each row of docs;
+    start and stop count characters."""
     with open(vocabulary, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
     if rule not in ("first", "most"):
         raise ValueError(rule)
-    fields = [("doc_id", pa.int64()), ("section", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("tokens", pa.int64()), ("doc_tokens", pa.int64())]
+    fields = [("doc_id", pa.int64()), ("section", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("start_byte", pa.int64()), ("stop_byte", pa.int64()), ("tokens", pa.int64()), ("doc_tokens", pa.int64())]
 
     def run(batches):
         encoding, lengths = encoder(ranks.value, pattern)
@@ -74,19 +75,23 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
             columns = [[] for _ in fields]
             for i, text, cuts in zip(batch.column(0).to_pylist(), byte_rows(batch), given):
                 sizes = lengths[np.array(encoding.encode_ordinary(text.decode("utf-8", "replace")), np.int64)]
+                data = np.frombuffer(text, np.uint8)
+                places = np.flatnonzero((data & 0xC0) != 0x80)  # the first byte of each character
                 if bounds:
-                    starts = np.array(sorted({0, *(c for c in cuts or () if c is not None and 0 < c < len(text))}), np.int64)
+                    firsts = np.array(sorted({0, *(c for c in cuts or () if c is not None and 0 < c < len(places))}), np.int64)
+                    starts = places[firsts] if len(places) else firsts
                 else:
-                    starts = np.concatenate([[0], np.flatnonzero(np.frombuffer(text, np.uint8) == 10) + 1])
+                    starts = np.concatenate([[0], np.flatnonzero(data == 10) + 1])
+                    firsts = np.searchsorted(places, starts)
                 counts = attribute(sizes, starts, rule)
-                for column, values in zip(columns, (np.full(len(starts), i), np.arange(len(starts)), starts, np.append(starts[1:], len(text)), counts, np.full(len(starts), len(sizes)))):
+                for column, values in zip(columns, (np.full(len(starts), i), np.arange(len(starts)), firsts, np.append(firsts[1:], len(places)), starts, np.append(starts[1:], len(text)), counts, np.full(len(starts), len(sizes)))):
                     column.append(values)
             flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns]
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, (_, t) in zip(flat, fields)], [n for n, _ in fields])
 
     given = [F.col(bounds).cast("array<long>").alias("bounds")] if bounds else []
     known = docs.select(id_of().alias("doc_id"), F.col("text").cast("string").alias("text"), *given)
-    out = known.mapInArrow(run, "doc_id long, section int, start long, stop long, tokens long, doc_tokens long")
+    out = known.mapInArrow(run, "doc_id long, section int, start long, stop long, start_byte long, stop_byte long, tokens long, doc_tokens long")
     return out.withColumn("doc_id", id_back("doc_id"))
 
 
