@@ -1,11 +1,12 @@
 """Cases with defined results: clashing names, limits, short items, repeated rows, empty tables, broken pages."""
 
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from fragloom.llm import decontamination, html_text, line_dedup, mixing, simhash, toxicity
+from fragloom.llm import decontamination, html_text, licenses, line_dedup, mixing, simhash, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -106,3 +107,44 @@ def test_broken_markup_is_read_in_one_pass(html):
 def test_deep_trees_are_aligned(spark):
     rows = [(i, "http://a/x", "<body>" + "<div>" * 3000 + f"<p>Top line</p><p>{story(i)}</p>") for i in range(3)]
     assert pages(spark, rows) == {i: story(i) for i in range(3)}
+
+
+def voted_labels(words, templates, k=licenses.K):
+    """Brute force: every gram of a text against every gram of every template."""
+    found = set()
+    for label, text in templates:
+        wanted = licenses._words_of(text)
+        grams = len(wanted) - k + 1
+        diagonals = {}
+        for pos in range(len(words) - k + 1):
+            for tpos in range(grams):
+                if words[pos : pos + k] == wanted[tpos : tpos + k]:
+                    diagonals.setdefault(pos - tpos, []).append((pos, tpos))
+        runs = []
+        for d in sorted(diagonals):
+            if runs and d - runs[-1][0] <= licenses.SLIP:
+                runs[-1] = (d, runs[-1][1] + diagonals[d])
+            else:
+                runs.append((d, diagonals[d]))
+        for _, hits in runs:
+            stop, start = max(p for p, _ in hits) + k, min(p for p, _ in hits)
+            if len({t for _, t in hits}) >= licenses.COVER * grams and stop - start <= licenses.STRETCH * (grams + k - 1) + licenses.SLIP:
+                found.add((label, start, stop))
+    return found
+
+
+def test_license_spans_match_brute_force_over_all_documents(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        _, text = licenses.TEMPLATES[i % len(licenses.TEMPLATES)]
+        words = licenses._words_of(text)
+        for _ in range(rng.choice([0, 1, 2, 5, 20])):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([[], ["word", words[at]], ["other"], ["the"]])
+        rows.append((i, " ".join(["of", "the"] * rng.randint(0, 5) + words + [rng.choice(["general", "public", "x"]) for _ in range(9)] + (words if i % 4 == 0 else []))))
+    docs = documents(spark, rows + [(None, rows[1][1]), (5, rows[5][1])])
+    got = {r.doc_id: {(s.label, s.start, s.stop) for s in r.spans or []} for r in licenses.license_report(docs).collect()}
+    for i, text in rows:
+        assert got[i] == voted_labels(licenses._words_of(text), licenses.TEMPLATES), i
+    assert got[None] == got[1] and sum(map(bool, got.values())) > 30

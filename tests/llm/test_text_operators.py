@@ -236,10 +236,13 @@ def test_licenses_base_places_and_labels(spark):
 def test_token_counts_sum_and_follow_the_rule(spark, docs):
     with open(token_counts.VOCABULARY, "rb") as f:
         encoding, sizes = token_counts.encoder(f.read())
+    texts = {i: t for i, t, _ in samples()}
     for rule in ("first", "most"):
         got = {}
         for r in token_counts.token_counts(docs, rule=rule).collect():
-            got.setdefault((r.doc_id, r.doc_tokens), []).append((r.section, r.start, r.stop, r.tokens))
+            got.setdefault((r.doc_id, r.doc_tokens), []).append((r.section, r.start_byte, r.stop_byte, r.tokens))
+            text = texts[r.doc_id] or ""
+            assert (len(text[: r.start].encode()), len(text[: r.stop].encode())) == (r.start_byte, r.stop_byte)
         for i, t, _ in samples():
             ids = encoding.encode_ordinary(t or "")
             parts = sorted(set(got[i, len(ids)]))
@@ -254,7 +257,7 @@ def test_token_counts_sum_and_follow_the_rule(spark, docs):
 
 
 def test_token_counts_of_given_fields(spark):
-    rows = spark.createDataFrame([(1, "one two three", [4, 8, 99, None]), (2, "abc", None)], "doc_id long, text string, cuts array<long>")
+    rows = spark.createDataFrame([(1, "öne two three", [4, 8, 99, None]), (2, "abc", None)], "doc_id long, text string, cuts array<long>")
     got = sorted((r.doc_id, r.section, r.start, r.stop) for r in token_counts.token_counts(rows, bounds="cuts").collect())
     assert got == [(1, 0, 0, 4), (1, 1, 4, 8), (1, 2, 8, 13), (2, 0, 0, 3)]
 
