@@ -7,7 +7,8 @@ node's neighbours (both directions) with one another at that node: the pairs are
 keeps its best; rounds go on until few neighbours change. Reverse neighbours and pairs are sampled as the method has it.
 A query walks the graph greedily: it keeps a pool of the best nodes seen and in each hop expands the best not yet
 expanded, until its pool holds none. Degree and pool are fixed, so recall falls slowly as the table grows (README).
-All hops are joins on node, and scores of the answers are taken again in double precision from the given vectors.
+All hops are joins on node. Graph and walk compare codes, a byte a component, so that what rounds and hops copy is a
+quarter of the vectors; scores of the answers are taken again in double precision from the given vectors.
 
 Defined cases: vectors that are null, empty, zero, of another length than most, or that hold a null or non-finite
 component take no part; null ids take no part; an id given twice takes part with each of its different vectors; with
@@ -50,6 +51,25 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(n, -1) if n else flat.reshape(0, 0)
 
 
+def _codes(column: pa.Array, dims: int) -> np.ndarray:
+    """Rows of a column of codes (a signed byte a component) without nulls."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.int8)[ends[0] : ends[-1]] if len(column) else np.zeros(0, np.int8)
+    return data.reshape(-1, dims).astype(np.float32)
+
+
+def coded(nodes: DataFrame, most: float) -> DataFrame:
+    """nodes (id, v) with v as codes: components in 127ths of `most`, the largest one."""
+
+    def run(batches):
+        for batch in slices(batches, 4096):
+            if batch.num_rows:
+                codes = np.rint(_matrix(batch.column(1)) * (127 / most)).astype(np.int8)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in codes], pa.binary())], ["id", "v"])
+
+    return nodes.select("id", "v").mapInArrow(run, "id long, v binary")
+
+
 def _flat(lists: pa.ListScalar) -> np.ndarray:
     """The numbers of a list of lists."""
     return lists.values.flatten().to_numpy()
@@ -91,7 +111,7 @@ def starting_lists(nodes: DataFrame, dims: int, k: int = DEGREE, rounds: int = P
         def code(batches, planes=planes):
             for batch in slices(batches, 4096):
                 if batch.num_rows:
-                    v = _matrix(batch.column(1)) @ planes.T
+                    v = _codes(batch.column(1), dims) @ planes.T
                     bits = (v[:, :-1] > 0) @ (1 << np.arange(planes.shape[0] - 2, -1, -1))
                     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits + 1 / (1 + np.exp(-v[:, -1].astype(np.float64))))], ["id", "v", "key"])
 
@@ -109,7 +129,7 @@ def starting_lists(nodes: DataFrame, dims: int, k: int = DEGREE, rounds: int = P
                 if not batch.num_rows:
                     continue
                 ids = np.concatenate([ids, batch.column(0).to_numpy()])
-                new = _matrix(batch.column(1))
+                new = _codes(batch.column(1), dims)
                 held = new if held is None else np.concatenate([held, new])
                 while len(ids) >= 2 * STRETCH:
                     yield judged(ids[:STRETCH], held[:STRETCH])
@@ -117,7 +137,7 @@ def starting_lists(nodes: DataFrame, dims: int, k: int = DEGREE, rounds: int = P
             if len(ids):
                 yield judged(ids, held)
 
-        sorted_rows = nodes.select("id", "v").mapInArrow(code, "id long, v array<float>, key double").repartitionByRange("key", "id").sortWithinPartitions("key", "id").select("id", "v")
+        sorted_rows = nodes.select("id", "v").mapInArrow(code, "id long, v binary, key double").repartitionByRange("key", "id").sortWithinPartitions("key", "id").select("id", "v")
         lists = sorted_rows.mapInArrow(compare, LISTS)
         out = lists if out is None else out.union(lists)
     return cut(merge_lists(cut(out), k))
@@ -132,12 +152,12 @@ def members(graph: DataFrame, back: int, turn: int) -> DataFrame:
 
 
 def around(graph: DataFrame, nodes: DataFrame, back: int, turn: int) -> DataFrame:
-    """(center, ids, vs): each node with its members and their vectors, flat."""
+    """(center, ids, vs): each node with its members and their codes."""
     joined = members(graph, back, turn).join(nodes.select("id", "v"), "id")
-    return joined.groupBy("center").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("vs"))
+    return joined.groupBy("center").agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"))
 
 
-def descend(graph: DataFrame, nodes: DataFrame, k: int = DEGREE, back: int = BACK, pairs: int = PAIRS, turn: int = 0) -> DataFrame:
+def descend(graph: DataFrame, nodes: DataFrame, dims: int, k: int = DEGREE, back: int = BACK, pairs: int = PAIRS, turn: int = 0) -> DataFrame:
     """One round: the members of each node meet one another, and each node keeps its k best.
 
     A pair that is no better than the worst of a full list is not sent, as it could not enter."""
@@ -149,7 +169,7 @@ def descend(graph: DataFrame, nodes: DataFrame, k: int = DEGREE, back: int = BAC
                 ids, worst = ids.values.to_numpy(), worst.values.to_numpy()
                 if len(ids) < 2:
                     continue
-                x = vs.values.to_numpy().reshape(len(ids), -1)
+                x = _codes(vs.values, dims)
                 sims = x @ x.T
                 np.fill_diagonal(sims, -np.inf)
                 n = min(pairs, len(ids) - 1)
@@ -162,7 +182,7 @@ def descend(graph: DataFrame, nodes: DataFrame, k: int = DEGREE, back: int = BAC
     worst = F.when(F.size("sims") >= k, F.element_at("sims", -1)).otherwise(F.lit(float("-inf"))).cast("float")
     limits = nodes.join(graph.select("id", worst.alias("worst")), "id", "left").select("id", "v", F.coalesce("worst", F.lit(float("-inf")).cast("float")).alias("worst"))
     joined = members(graph, back, turn).join(limits, "id").groupBy("center")
-    met = joined.agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("vs"), F.collect_list("worst").alias("worst"))
+    met = joined.agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"), F.collect_list("worst").alias("worst"))
     return cut(merge_lists(graph.union(met.select("ids", "vs", "worst").mapInArrow(run, LISTS)), k))
 
 
@@ -171,7 +191,7 @@ def build_graph(nodes: DataFrame, dims: int, k: int = DEGREE, settled: float = S
     graph, turn = starting_lists(nodes, dims, k), 0
     while True:
         freed(nodes.sparkSession)
-        before, graph = graph, descend(graph, nodes, k, turn=turn)
+        before, graph = graph, descend(graph, nodes, dims, k, turn=turn)
         new = graph.join(before.select("id", F.col("ids").alias("was")), "id", "left").select(F.size("ids").alias("n"), F.size(F.array_except("ids", F.coalesce("was", F.array().cast("array<long>")))).alias("m"))
         n, changed = new.agg(F.sum("n"), F.sum("m")).first()
         if (changed or 0) <= settled * (n or 0):
@@ -179,12 +199,12 @@ def build_graph(nodes: DataFrame, dims: int, k: int = DEGREE, settled: float = S
         turn += 1
 
 
-def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, pool: int = POOL, expand: int = EXPAND, pivots: int = PIVOTS) -> DataFrame:
+def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, dims: int, pool: int = POOL, expand: int = EXPAND, pivots: int = PIVOTS) -> DataFrame:
     """(q, ids, sims): the pool of each query (q, v, at): v with the extra component, at: a node to start from or null.
 
     Searches start from that node and from the best of `pivots` nodes that every task holds (a fixed number)."""
     held = nodes.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(pivots).collect()
-    pivot_ids, pivot_vs = np.array([r.id for r in held], np.int64), np.array([r.v for r in held], np.float32)
+    pivot_ids, pivot_vs = np.array([r.id for r in held], np.int64), np.frombuffer(b"".join(bytes(r.v) for r in held), np.int8).reshape(-1, dims).astype(np.float32)
     state_schema = "q long, v array<float>, ids array<long>, sims array<float>, done array<boolean>, next array<long>"
     kinds = (pa.int64(), pa.list_(pa.float32()), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
 
@@ -198,7 +218,7 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, pool: int = P
                 v = np.array(v, np.float32)
                 ids, sims = pivot_ids, pivot_vs @ v
                 if av is not None:
-                    ids, sims = np.append(ids, at), np.append(sims, np.float32(np.array(av, np.float32) @ v))
+                    ids, sims = np.append(ids, at), np.append(sims, np.float32(np.frombuffer(av, np.int8).astype(np.float32) @ v))
                 ids, sims = _best(ids, sims, pool)
                 first = ids[:expand] if av is None or at in ids[:expand] else np.append(ids[: expand - 1], at)
                 rows.append((q, v, ids, sims, np.isin(ids, first), first))
@@ -209,7 +229,7 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, pool: int = P
             rows = []
             for q, v, ids, vs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)):
                 ids, v = ids.values.to_numpy(), v.values.to_numpy()
-                rows.append((q, ids, vs.values.to_numpy().reshape(len(ids), -1) @ v))
+                rows.append((q, ids, _codes(vs.values, dims) @ v))
             yield _lists(rows)
 
     def merge(batches):
@@ -250,7 +270,9 @@ def nearest(rows: DataFrame, wanted, k: int = 20, vector: str = "embedding", **h
     asked = given.where(wanted).join(nodes.select(F.col("id").alias("node"), "vec"), "vec").select(F.col("id").alias("query_id"), "node")
     asked = cut(asked)
     queries = asked.select(F.col("node").alias("id")).distinct().join(nodes, "id").select(F.col("id").alias("q"), F.concat("vec", F.array(F.lit(0.0))).cast("array<float>").alias("v"), F.col("id").alias("at"))
-    pools = search(queries, build_graph(nodes.select("id", "v"), dims, **how), nodes.select("id", "v"))
+    largest = nodes.select(F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()[0] or 1.0
+    codes = cut(coded(nodes, largest))
+    pools = search(queries, build_graph(codes, dims, **how), codes, dims)
     pairs = pools.select("q", F.explode("ids").alias("id")).join(nodes.select("id", "vec", "same"), "id")
     pairs = pairs.join(nodes.select(F.col("id").alias("q"), F.col("vec").alias("qv")), "q")
 
