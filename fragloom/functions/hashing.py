@@ -106,6 +106,17 @@ def byte_units(n: Column) -> Column:
     return out.otherwise(F.format_string("%.1f PiB", F.bround(size / float(1024**5), 1)))
 
 
+def tenths(x: Column) -> Column:
+    """The nearest tenth of a double's exact value as text, halves going to even: 1.25 -> "1.2", 1.35 -> "1.4".
+
+    x times 20 less its nearest whole number is exact when taken in two steps, as both differences are of near numbers."""
+    near = F.rint(x * 20.0)
+    off, down = (x * 16.0 - near) + x * 4.0, F.floor(near / 2)
+    up = (near % 2 != 0) & ((off > 0) | (off == 0) & (down % 2 != 0))
+    whole = (down + up.cast("long")).cast("long")
+    return F.concat(F.floor(whole / 10).cast("string"), F.lit("."), (whole % 10).cast("string"))
+
+
 def duration_units(seconds: Column) -> Column:
     """90 -> "2m": seconds below a minute, minutes below an hour, else hours (halves go to even)."""
-    return F.when(seconds < 60, F.format_string("%.0fs", F.bround(seconds, 0))).when(seconds < 3600, F.format_string("%.0fm", F.bround(seconds / 60, 0))).otherwise(F.format_string("%.1fh", seconds / 3600))
+    return F.when(seconds < 60, F.format_string("%.0fs", F.bround(seconds, 0))).when(seconds < 3600, F.format_string("%.0fm", F.bround(seconds / 60, 0))).otherwise(F.concat(tenths(seconds / 3600), F.lit("h")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT, WARM, EPSILON = 60.0, 300.0, 0.01
+HOT, WARM, EPSILON, BROADCAST_ROWS = 60.0, 300.0, 0.01, 10_000
 
 
 def tier(now: Column, last_access: Column, hot: float = HOT, warm: float = WARM) -> Column:
@@ -34,6 +34,14 @@ def survivors(last_access: DataFrame, keys: list[str], capacity: int) -> DataFra
     return last_access.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= capacity).drop("_r")
 
 
+def within_capacity(store: DataFrame, keys: list[str], capacity: int) -> DataFrame:
+    """What a store of `capacity` bytes keeps that takes everything and evicts the least recently used; with the bytes
+    held up to each row."""
+    aged = leading(store.withColumn("_age", -F.col("last_access")).withColumn("_phase", F.lit(0)), keys, "_phase", "_age", F.lit(capacity))
+    order = Window.partitionBy(*keys).orderBy("_age", "content_hash").rowsBetween(Window.unboundedPreceding, 0)
+    return aged.withColumn("held", F.sum("size").over(order)).where(F.col("held") <= capacity).drop("_age", "_phase")
+
+
 def recency_score(reuse: Column, last_access: Column) -> Column:
     """Smaller goes first. As the engine defines it, a high reuse score divides the time, so it goes earlier."""
     return last_access / (reuse + EPSILON)
@@ -54,8 +62,24 @@ def store_eviction(store: DataFrame, keys: list[str], now: Column, target: Colum
     return freed_until(store.withColumn("phase", phase).withColumn("score", score), keys, ["phase", "score", "content_hash"], target)
 
 
+def leading(rows: DataFrame, keys: list[str], phase: str, score: str, target: Column, buckets: int = 1024) -> DataFrame:
+    """The rows of each key that can be among the first `target` bytes by (phase, score): bytes are summed by buckets of
+    score, and buckets past the one that reaches the target are left out, so that an order by key meets few rows."""
+    ends = rows.groupBy(*keys, phase).agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
+    ends = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
+    share = F.coalesce(F.try_divide(F.col(score) - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0))
+    placed = rows.join(ends, [*keys, phase]).withColumn("_bucket", F.floor(share * (buckets - 1)).cast("int"))
+    sums = placed.groupBy(*keys, phase, "_bucket").agg(F.sum("size").alias("_bytes"))
+    before = F.sum("_bytes").over(Window.partitionBy(*keys).orderBy(phase, "_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    last = sums.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < target).groupBy(*keys).agg(F.max(F.struct(phase, "_bucket")).alias("_last"))
+    last = F.broadcast(last) if last.count() <= BROADCAST_ROWS else last
+    return placed.join(last, keys).where(F.struct(phase, "_bucket") <= F.col("_last")).drop("_low", "_high", "_bucket", "_last")
+
+
 def freed_until(rows: DataFrame, keys: list[str], order: list[str], target: Column) -> DataFrame:
-    """Rows in order while what the earlier ones free is below the target; with place (from 1) and freed so far."""
+    """Rows in order (phase, score, ties) while what the earlier ones free is below the target; with place (from 1) and
+    freed so far."""
+    rows = leading(rows, keys, order[0], order[1], target)
     w = Window.partitionBy(*keys).orderBy(*order)
     freed = F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("place", F.row_number().over(w)).withColumn("freed", freed).where(F.col("freed") - F.col("size") < target)

@@ -31,10 +31,6 @@ def neighbours(edges: DataFrame, least: float | None = None, edge_type: str | No
     return rows.select("src", "dst").distinct()
 
 
-def undirected(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"))).where("src <> dst").distinct()
-
-
 def without_node(edges: DataFrame, gone: DataFrame) -> DataFrame:
     g = gone.select("content_hash").distinct()
     return edges.join(g, edges["src"] == g["content_hash"], "left_anti").join(g, edges["dst"] == g["content_hash"], "left_anti")
@@ -59,6 +55,20 @@ def components(seeds: DataFrame, edges: DataFrame, least: float = 0.5, depth: in
     return reached
 
 
+def disjoint(reached: DataFrame) -> DataFrame:
+    """The rows of reached (seed, node) whose seed is kept: seeds go in order, and one that a kept earlier one reaches is
+    skipped. Each round settles the seeds that no unsettled earlier one reaches, at least the first of all."""
+    reached = cut(reached)
+    seeds = reached.select("seed").distinct()
+    earlier = cut(reached.where("seed < node").join(seeds.withColumnRenamed("seed", "node"), "node", "left_semi").select(F.col("seed").alias("by"), F.col("node").alias("seed")))
+    state = cut(seeds.withColumn("kept", F.lit(None).cast("boolean")))
+    while not state.where("kept is null").isEmpty():
+        near = earlier.join(state.withColumnRenamed("seed", "by"), "by").groupBy("seed").agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("hit"), F.bool_or(F.col("kept").isNull()).alias("waits"))
+        ruled = F.when(F.coalesce("hit", F.lit(False)), False).when(~F.coalesce("waits", F.lit(False)), True)
+        state = cut(state.join(near, "seed", "left").select("seed", F.coalesce("kept", ruled).alias("kept")))
+    return reached.join(state.where("kept").select("seed"), "seed")
+
+
 def ancestors(versions: DataFrame, depth: int) -> DataFrame:
     """(version_id, ancestor, steps): each version's own path of parents, itself at 0 steps."""
     paths = versions.select("version_id", F.col("version_id").alias("ancestor"), F.lit(0).alias("steps"), F.col("parent_version").alias("_next"))

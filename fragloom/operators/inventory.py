@@ -61,6 +61,12 @@ def holders(inventory: DataFrame) -> DataFrame:
     return inventory.groupBy("content_hash").agg(F.array_sort(F.collect_set("node_id")).alias("nodes"))
 
 
+def primaries(inventory: DataFrame, order: str) -> DataFrame:
+    """(content_hash, node_id): the last holder that was declared primary, by `order`; null where none was."""
+    declared = F.when(F.col("is_primary"), F.struct(order, "node_id"))
+    return inventory.groupBy("content_hash").agg(F.max(declared).alias("_p")).select("content_hash", F.col("_p.node_id").alias("node_id"))
+
+
 def nearest_holder(keys: DataFrame, inventory: DataFrame) -> DataFrame:
     """keys with `node_id`: the least holder by name, else the key's ring owner (column `fallback`)."""
     least = inventory.groupBy("content_hash").agg(F.min("node_id").alias("_n"))

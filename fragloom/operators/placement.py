@@ -56,6 +56,11 @@ def placement(keys: DataFrame, nodes: DataFrame, replicas: int = 2) -> DataFrame
     return owners(keys, nodes, replicas + 1).withColumn("primary", F.col("owners")[0]).withColumn("replicas", F.slice("owners", 2, replicas)).drop("owners")
 
 
+def replica_shards(placed: DataFrame) -> DataFrame:
+    """(node_id, content_hash) of placed keys: what each node holds as a replica."""
+    return placed.select(F.explode("replicas").alias("node_id"), "content_hash")
+
+
 def migrations(keys: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
     """(content_hash, old_node, new_node) for keys whose primary changes from one node list to the other."""
     old = owners(keys.select("content_hash"), before).select("content_hash", F.col("owners")[0].alias("old_node"))

@@ -33,10 +33,11 @@ def top_neighbours(rows: DataFrame, queries: DataFrame, k: int = 5, block: int =
             for pdf in batches:
                 if not len(pdf):
                     continue
-                sims = np.stack(pdf["v"].to_numpy()) @ matrix.T
-                for i, q in enumerate(ids):
-                    top = np.lexsort((pdf["vec_id"].to_numpy(), -sims[:, i]))[:k]
-                    yield pd.DataFrame({"query_id": q, "vec_id": pdf["vec_id"].to_numpy()[top], "score": sims[top, i]})
+                sims = matrix @ np.stack(pdf["v"].to_numpy()).T
+                # all that reach a query's k-th best of the batch, ties included, as one frame
+                least = np.partition(sims, -k, axis=1)[:, -k][:, None] if sims.shape[1] > k else np.full((len(ids), 1), -np.inf)
+                at, row = np.nonzero(sims >= least)
+                yield pd.DataFrame({"query_id": ids[at], "vec_id": pdf["vec_id"].to_numpy()[row], "score": sims[at, row]})
 
         parts.append(base.mapInPandas(score, "query_id long, vec_id long, score double"))
     if not parts:

@@ -24,10 +24,6 @@ def token_windows(prompts: DataFrame, width: int = 1024, dialect: str = "tuple")
     return rows.select("prompt_id", "model_id", "tenant", start.cast("int").alias("token_start"), (start + F.size("part") - 1).cast("int").alias("token_end"), hashed(F.col("part")).alias("content_hash"), (F.size("part") * BYTES_PER_TOKEN).cast("long").alias("size"), F.col("part").alias("tokens"))
 
 
-def with_embedding(windows: DataFrame, dim: int) -> DataFrame:
-    return windows.withColumn("embedding", embedding(F.col("content_hash"), dim))
-
-
 def split_windows(windows: DataFrame, points: Column) -> DataFrame:
     """Each window cut after the points strictly inside its span: a point is the last token of the left child.
 

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fragloom.sources.checkpoints import cut
+
+BROADCAST_ROWS = 10_000
+
 
 def patterns(accessed: DataFrame) -> DataFrame:
     """(content_hash, n, first_seq, frequency)"""
@@ -38,21 +42,46 @@ def reuse_probability(accessed: DataFrame, window: int = 10) -> DataFrame:
     return rows.withColumn("probability", F.size(F.filter("_last", lambda h: h == F.col("content_hash"))) / F.size("_last")).drop("_last")
 
 
-def value_density(fragments: DataFrame, accessed: DataFrame, session: Column, importance: float = 1.0) -> DataFrame:
-    """(session_id, content_hash, value): expected reuse of each fragment in each session that `session` picks.
+def value_density(fragments: DataFrame, accessed: DataFrame, importance: float = 1.0) -> DataFrame:
+    """(session_id, content_hash, value): expected reuse of each fragment that a session accessed, in that session; a row
+    with a null session gives the fragment's value in all other sessions.
 
     reuse score, plus 0.05 for each access and 0.1 for the last one, at most 1."""
-    some = accessed.where(session)
-    counts = some.groupBy("session_id", "content_hash").agg(F.count("*").alias("count"))
-    last = some.groupBy("session_id").agg(F.max_by("content_hash", "seq").alias("last"))
-    grid = last.join(fragments.select("content_hash", "reuse_score"))
-    value = F.least(F.lit(1.0), F.col("reuse_score") + F.coalesce("count", F.lit(0)) * 0.05 + F.when(F.col("content_hash") == F.col("last"), 0.1).otherwise(0.0))
-    return grid.join(counts, ["session_id", "content_hash"], "left").select("session_id", "content_hash", (value * importance).alias("value"))
+    counts = accessed.groupBy("session_id", "content_hash").agg(F.count("*").alias("count"), F.max("seq").alias("seq"))
+    last = accessed.groupBy("session_id").agg(F.max("seq").alias("seq"), F.lit(0.1).alias("latest"))
+    scores = fragments.select("content_hash", "reuse_score")
+    touched = counts.join(last, ["session_id", "seq"], "left").join(scores, "content_hash")
+    value = F.least(F.lit(1.0), F.col("reuse_score") + F.col("count") * 0.05 + F.coalesce("latest", F.lit(0.0))) * importance
+    base = scores.select(F.lit(None).cast(dict(accessed.dtypes)["session_id"]).alias("session_id"), "content_hash", (F.least(F.lit(1.0), F.col("reuse_score")) * importance).alias("value"))
+    return touched.select("session_id", "content_hash", value.alias("value")).union(base)
+
+
+def nearest_rank(rows: DataFrame, keys: list[str], value: str, share: float, few: int = 100_000, buckets: int = 1024) -> DataFrame:
+    """keys with the value of rank ceil(share * n), exact. The range that holds it is narrowed by counts in buckets until a
+    key has at most `few` rows left there, so no task orders all rows of a key."""
+    rows = rows.where(F.col(value).isNotNull()).select(*keys, F.lit(0).alias("_all"), F.col(value).alias("_v"))
+    keys = [*keys, "_all"]
+    state = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    state = cut(state.withColumn("_rank", F.ceil(F.col("_n") * share)))
+    near = lambda s: F.broadcast(s) if s.count() <= BROADCAST_ROWS else s
+    inside = F.col("_v").between(F.col("_low"), F.col("_high"))
+    wide = (F.col("_low") < F.col("_high")) & (F.col("_n") > few)
+    while not state.where(wide).isEmpty():
+        bucket = F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * (buckets - 1)).cast("int")
+        counts = rows.join(near(state.where(wide).select(*keys, "_low", "_high", "_rank")), keys).where(inside).groupBy(*keys, "_rank", bucket.alias("_b")).agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+        hit = counts.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank")))
+        state = cut(state.where(~wide).unionByName(hit.select(*keys, "_n", "_low", "_high", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"))))
+    left = rows.join(near(state.where("_low < _high").drop("_n")), keys).where(inside)
+    found = left.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_v"))).where("_r = _rank")
+    return found.select(*keys, "_v").union(state.where("_low = _high").select(*keys, "_low")).withColumnRenamed("_v", value).drop("_all")
 
 
 def mean_and_p90(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean and nearest-rank 90th percentile."""
-    return rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.expr(f"percentile_disc(0.9) within group (order by {value})").alias("p90"))
+    p90 = nearest_rank(rows, keys, value, 0.9).withColumnRenamed(value, "p90")
+    means = rows.groupBy(*keys).agg(F.avg(value).alias("mean"))
+    return means.join(p90, keys, "left") if keys else means.join(p90, F.lit(True), "left")
 
 
 def conditional_means(rows: DataFrame, threshold: Column, keys: list[str]) -> DataFrame:

@@ -20,7 +20,7 @@ QUERIES, ORACLES, query = registry()
 
 # --- spans
 
-_SPANS = "spans AS (SELECT l_orderkey AS id, l_linenumber AS line, l_suppkey % 50 AS grp, epoch(l_shipdate)::BIGINT // 86400 AS start, epoch(l_shipdate)::BIGINT // 86400 + l_quantity::BIGINT AS stop FROM lineitem), probes AS (SELECT o_orderkey AS probe, o_custkey % 50 AS grp, epoch(o_orderdate)::BIGINT // 86400 AS q_start, epoch(o_orderdate)::BIGINT // 86400 + 3 AS q_stop FROM orders WHERE o_orderpriority LIKE '1%')"
+_SPANS = "spans AS (SELECT l_orderkey AS id, l_linenumber AS line, l_suppkey % 50 AS grp, epoch(l_shipdate)::BIGINT // 86400 AS start, epoch(l_shipdate)::BIGINT // 86400 + l_quantity::BIGINT AS stop FROM lineitem), probes AS (SELECT o_orderkey AS probe, o_custkey % 50 AS grp, epoch(o_orderdate)::BIGINT // 86400 AS q_start, epoch(o_orderdate)::BIGINT // 86400 + 3 AS q_stop FROM orders)"
 
 
 def _day(c):
@@ -34,7 +34,7 @@ def _spans(spark, d):
 
 def _probes(spark, d):
     start = _day("o_orderdate")
-    return T.read(spark, d, "orders").where("o_orderpriority like '1%'").select(F.col("o_orderkey").alias("probe"), (F.col("o_custkey") % 50).alias("grp"), start.alias("q_start"), (start + 3).alias("q_stop"))
+    return T.read(spark, d, "orders").select(F.col("o_orderkey").alias("probe"), (F.col("o_custkey") % 50).alias("grp"), start.alias("q_start"), (start + 3).alias("q_stop"))
 
 
 @query("span_overlap", f"WITH {_SPANS} SELECT probe, count(*) AS hits, min(start) AS least, max(stop) AS most FROM probes JOIN spans ON spans.grp = probes.grp AND start <= q_stop AND stop >= q_start GROUP BY probe")
@@ -49,31 +49,34 @@ def span_adjacent(spark, d):
     return J.adjacent_join(_spans(spark, d), points, ["grp"], 1).groupBy("probe").agg(F.count("*").alias("hits"))
 
 
-_COVER = f"{_SPANS}, s AS (SELECT grp, greatest(0, start - 8000) AS a, least(stop - 8000, 3999) AS b FROM spans WHERE id % 97 = 0 AND stop >= 8000 AND start - 8000 <= 3999), m AS (SELECT grp, a, b, coalesce(max(b) OVER (PARTITION BY grp ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS open FROM (SELECT * FROM s UNION ALL SELECT grp, 4000, 4000 FROM (SELECT DISTINCT grp FROM s)))"
+_COVER = "raw AS (SELECT l_partkey AS part, epoch(l_shipdate)::BIGINT // 86400 AS start, epoch(l_shipdate)::BIGINT // 86400 + l_quantity::BIGINT AS stop FROM lineitem), ends AS (SELECT min(start) AS lo, max(stop) + 1 - min(start) AS length FROM raw), s AS (SELECT part, start - lo AS a, stop - lo AS b FROM raw, ends), m AS (SELECT part, a, b, coalesce(max(b) OVER (PARTITION BY part ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS open FROM (SELECT * FROM s UNION ALL SELECT DISTINCT part, length, length FROM s, ends))"
 
 
 def _placed(spark, d):
-    rows = _spans(spark, d).where("id % 97 = 0 and stop >= 8000 and start - 8000 <= 3999")
-    return rows.select("grp", (F.col("start") - 8000).alias("start"), (F.col("stop") - 8000).alias("stop"), F.lit(4000).alias("length"))
+    """Each part's shipments as spans of days, from the first day of all to the last."""
+    start = _day("l_shipdate")
+    rows = T.read(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("stop"))
+    ends = rows.agg(F.min("start").alias("lo"), (F.max("stop") + 1 - F.min("start")).alias("length"))  # one row
+    return rows.crossJoin(F.broadcast(ends)).select("part", (F.col("start") - F.col("lo")).alias("start"), (F.col("stop") - F.col("lo")).alias("stop"), "length")
 
 
-@query("span_gaps", f"WITH {_COVER} SELECT grp, open + 1 AS gap_start, a - 1 AS gap_end FROM m WHERE open + 1 < a")
+@query("span_gaps", f"WITH {_COVER} SELECT part, open + 1 AS gap_start, a - 1 AS gap_end FROM m WHERE open + 1 < a")
 def span_gaps(spark, d):
-    return J.gaps(_placed(spark, d), ["grp"], "length")
+    return J.gaps(_placed(spark, d), ["part"], "length")
 
 
-@query("coverage_ratio", f"WITH {_COVER}, g AS (SELECT grp, sum(CASE WHEN open + 1 < a THEN a - open - 1 ELSE 0 END) AS missing FROM m GROUP BY grp) SELECT grp, 4000 AS length, (4000 - missing)::BIGINT AS covered, round((4000 - missing) / 4000, 6) AS ratio FROM g")
+@query("coverage_ratio", f"WITH {_COVER}, g AS (SELECT part, sum(CASE WHEN open + 1 < a THEN a - open - 1 ELSE 0 END) AS missing FROM m GROUP BY part) SELECT part, length, (length - missing)::BIGINT AS covered, round((length - missing) / length, 6) AS ratio FROM g, ends")
 def coverage_ratio(spark, d):
-    return J.covered(_placed(spark, d), ["grp"], "length").select("grp", "length", "covered", F.round("ratio", 6).alias("ratio"))
+    return J.covered(_placed(spark, d), ["part"], "length").select("part", "length", "covered", F.round("ratio", 6).alias("ratio"))
 
 
 # --- vectors
 
-@query("cosine_topk", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 25 = 0),
+@query("cosine_topk", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 20 = 0),
   s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.v, e.v) AS score FROM q, e) SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 5""")
 def cosine_topk(spark, d):
     rows = T.vectors(spark, d)
-    return V.top_neighbours(rows, rows.where("vec_id % 25 = 0"), 5).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+    return V.top_neighbours(rows, rows.where("vec_id % 20 = 0"), 5).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("label_cosine", "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings), f AS (SELECT label, arg_min(v, vec_id) AS f FROM e GROUP BY label) SELECT vec_id, round(list_cosine_similarity(v, f), 6) AS score FROM e JOIN f USING (label)")
@@ -135,7 +138,7 @@ def joint_placement(spark, d):
   b AS (SELECT length, arg_min(node_id, (round({S.prefill('length')} * load + 1 / (1 - load + 0.01::DOUBLE), 9), seq)) AS best FROM (SELECT DISTINCT length FROM req), c GROUP BY length)
   SELECT request_id, length, CASE WHEN length <= 512 AND local_load < 0.8 THEN local_node ELSE best END AS target_node, length <= 512 AND local_load < 0.8 AS local_compute, round({S.prefill('length')}, 6) AS cost_seconds, CASE WHEN length <= 512 AND local_load < 0.8 THEN 'short prompt and low local load' ELSE 'offloaded to lower-load node' END AS reason FROM req JOIN b USING (length)""")
 def offload_decide(spark, d):
-    requests = T.prompts(spark, d).select(F.col("prompt_id").alias("request_id"), F.size("tokens").alias("length"), F.lit("local").alias("local_node"), (F.col("prompt_id") % 11 / 10).alias("local_load"))
+    requests = T.prompt_sizes(spark, d).select(F.col("prompt_id").alias("request_id"), "length", F.lit("local").alias("local_node"), (F.col("prompt_id") % 11 / 10).alias("local_load"))
     out = D.offload(requests, T.nodes(spark, d).where("seq < 40"))
     return out.withColumn("cost_seconds", F.round("cost_seconds", 6))
 
@@ -272,10 +275,14 @@ def simulate(spark, d):
     return rows.select("config_name", F.round("lambda_max", 5).alias("lambda_max"), "threshold", "n_p", "n_d", *[F.round(c, 5).alias(c) for c in ("mean_ttft", "p90_ttft", "bandwidth_gbps", "fraction")])
 
 
-@query("random_lengths")
+_UNIFORM = "((('0x' || substr(md5('42:' || o_orderkey || ':' || i), {0}, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE)"
+_DRAW = f"floor(exp(9.9::DOUBLE + sqrt(-2.0::DOUBLE * ln({_UNIFORM.format(1)})) * cos(2.0::DOUBLE * pi() * {_UNIFORM.format(17)})))::BIGINT"
+
+
+@query("random_lengths", f"WITH x AS (SELECT o_orderkey, i, {_DRAW} AS length FROM orders, range(0, 8) t(i)) SELECT o_orderkey, coalesce(arg_min(length, i) FILTER (length BETWEEN 128 AND 131072), greatest(128, least(131072, arg_min(length, i)))) AS length FROM x GROUP BY 1")
 def random_lengths(spark, d):
-    """Log-normal request lengths, as many as there are orders."""
-    return T.random_lengths(spark, T.read(spark, d, "orders").count())
+    """A log-normal request length for each order."""
+    return T.random_lengths(T.read(spark, d, "orders").select("o_orderkey"), "o_orderkey")
 
 
 # --- reconstruction

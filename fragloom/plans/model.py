@@ -10,19 +10,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fragloom.functions import throughput as T
+from fragloom.operators.workload import mean_and_p90
+from fragloom.sources.checkpoints import cut
 
 
-def threshold_stats(lengths: DataFrame) -> DataFrame:
-    """(threshold, fraction, mean_long, mean_short) for each threshold of the grid."""
+def threshold_stats(lengths: DataFrame, keys: list[str] | tuple = ()) -> DataFrame:
+    """keys with (threshold, fraction, mean_long, mean_short) for each threshold of the grid."""
     steps = (T.T_MAX - T.T_MIN) // T.T_STEP
     bucket = F.greatest(F.lit(0), F.least(F.lit(steps + 1), F.ceil((F.col("length") - T.T_MIN) / T.T_STEP).cast("int")))
-    counted = lengths.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.sum("length").alias("s"))
-    grid = lengths.sparkSession.range(steps + 2).select(F.col("id").cast("int").alias("b")).join(counted, "b", "left").fillna(0, ["n", "s"])
-    upto, every = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(F.lit(0))
-    sums = grid.select("b", F.sum("n").over(upto).alias("n"), F.sum("s").over(upto).alias("s"), F.sum("n").over(every).alias("all_n"), F.sum("s").over(every).alias("all_s"))
+    counted = lengths.groupBy(*keys, bucket.alias("b")).agg(F.count("*").alias("n"), F.sum("length").alias("s"))
+    grid = lengths.sparkSession.range(steps + 2).select(F.col("id").cast("int").alias("b"))
+    if keys:  # every key with every bucket of the grid
+        grid = lengths.select(*keys).distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(steps + 1))))
+    grid = grid.join(counted, [*keys, "b"], "left").fillna(0, ["n", "s"])
+    every = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    upto = every.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    sums = grid.select(*keys, "b", F.sum("n").over(upto).alias("n"), F.sum("s").over(upto).alias("s"), F.sum("n").over(every).alias("all_n"), F.sum("s").over(every).alias("all_s"))
     part = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     return sums.where(F.col("b") <= steps).select(
-        (F.col("b") * T.T_STEP + T.T_MIN).alias("threshold"), part(F.col("all_n") - F.col("n"), F.col("all_n")).alias("fraction"),
+        *keys, (F.col("b") * T.T_STEP + T.T_MIN).alias("threshold"), part(F.col("all_n") - F.col("n"), F.col("all_n")).alias("fraction"),
         part(F.col("all_s") - F.col("s"), F.col("all_n") - F.col("n")).alias("mean_long"), part(F.col("s"), F.col("n")).alias("mean_short"), F.col("all_n").alias("requests"),
     )
 
@@ -44,6 +50,14 @@ def grid_search(lengths: DataFrame, instances: int = T.LOCAL_INSTANCES) -> DataF
     return with_stages(rows).orderBy(F.col("lambda").desc(), "threshold", "n_p").limit(1)
 
 
+def windowed_search(lengths: DataFrame, key: str, instances: int = T.LOCAL_INSTANCES) -> DataFrame:
+    """grid_search for each value of `key` (a window of requests): counts by bucket, prefix sums within 254 buckets a key."""
+    splits = F.explode(F.sequence(F.lit(1), F.lit(instances - 1)))
+    rows = with_stages(threshold_stats(lengths, [key]).withColumn("n_p", splits).withColumn("n_d", F.lit(instances) - F.col("n_p")))
+    found = rows.groupBy(key).agg(F.min(F.struct((-F.col("lambda")).alias("less"), "threshold", "n_p", "n_d", "lambda")).alias("x"))
+    return found.select(key, "x.threshold", "x.n_p", "x.n_d", "x.lambda")
+
+
 def homogeneous(lengths: DataFrame, instances: int = T.LOCAL_INSTANCES + T.OFFLOAD_INSTANCES) -> DataFrame:
     """The best split of local instances alone, at the mean length."""
     mean = lengths.agg(F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean"))
@@ -65,10 +79,10 @@ RESULT = ["config_name", "lambda_max", "theta_offload", "theta_local", "theta_de
 
 def simulate(lengths: DataFrame) -> DataFrame:
     """Three rows: selective offloading, local only, all offloaded, with their rates and times to first token."""
-    best = grid_search(lengths)
+    best = cut(grid_search(lengths))
     routed = lengths.crossJoin(F.broadcast(best.select("threshold")))
     times = routed.select(T.first_token_seconds(F.col("length"), F.when(F.col("length") <= F.col("threshold"), "pd-p").otherwise("offload")).alias("t"))
-    ttft = times.agg(F.coalesce(F.avg("t"), F.lit(0.0)).alias("mean_ttft"), F.coalesce(F.expr("percentile_disc(0.9) within group (order by t)"), F.lit(0.0)).alias("p90_ttft"))
+    ttft = mean_and_p90(times, [], "t").select(F.coalesce("mean", F.lit(0.0)).alias("mean_ttft"), F.coalesce("p90", F.lit(0.0)).alias("p90_ttft"))
     zero = F.lit(0.0)
     selective = best.crossJoin(ttft).select(
         F.lit("selective").alias("config_name"), F.col("lambda").alias("lambda_max"), "theta_offload", "theta_local", "theta_decode", F.col("threshold").cast("long").alias("threshold"), F.lit(T.OFFLOAD_INSTANCES).alias("num_offload"), "n_p", "n_d",

@@ -66,11 +66,11 @@ def reuse_probability(spark, d):
     return L.reuse_probability(T.accesses(spark, d)).select("session_id", "seq", F.round("probability", 6).alias("probability"))
 
 
-@query("value_density", f"{ACC}, {S.STORE}, s AS (SELECT * FROM acc WHERE session_id % 50 = 1), c AS (SELECT session_id, content_hash, count(*) AS n FROM s GROUP BY ALL), l AS (SELECT session_id, arg_max(content_hash, seq) AS last FROM s GROUP BY 1) SELECT l.session_id, st.content_hash, round(least(1.0::DOUBLE, reuse_score + coalesce(c.n, 0) * 0.05::DOUBLE + CASE WHEN st.content_hash = last THEN 0.1::DOUBLE ELSE 0 END), 6) AS value FROM l CROSS JOIN store st LEFT JOIN c ON c.session_id = l.session_id AND c.content_hash = st.content_hash")
+@query("value_density", f"{ACC}, {S.STORE}, c AS (SELECT session_id, content_hash, count(*) AS times FROM acc GROUP BY ALL), l AS (SELECT session_id, arg_max(content_hash, seq) AS last FROM acc GROUP BY 1) SELECT c.session_id, content_hash, round(least(1.0::DOUBLE, reuse_score + times * 0.05::DOUBLE + CASE WHEN content_hash = last THEN 0.1::DOUBLE ELSE 0 END), 6) AS value FROM c JOIN l USING (session_id) JOIN store USING (content_hash) UNION ALL SELECT NULL, content_hash, round(reuse_score, 6) FROM store")
 def value_density(spark, d):
-    """A fragment's value in each of the sessions whose id leaves 1 modulo 50 (the stated sessions, against all fragments)."""
+    """A fragment's value in each session that accessed it, and in all others (a null session)."""
     accessed = T.accesses(spark, d)
-    return L.value_density(T.store(accessed), accessed, F.col("session_id") % 50 == 1).select("session_id", "content_hash", F.round("value", 6).alias("value"))
+    return L.value_density(T.store(accessed), accessed).select("session_id", "content_hash", F.round("value", 6).alias("value"))
 
 
 @query("egress_moving_average", f"{ACC} SELECT session_id, seq, round(avg(k) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 6) AS average FROM acc")

@@ -74,7 +74,7 @@ def kv_lookup(spark, d):
     """Prompts as prefixes: those whose windows are cached hit, and come with the number of their fragments."""
     prompts = T.prompts(spark, d)
     cached = W.token_windows(prompts.where("prompt_id % 3 = 0"), 64).groupBy("prompt_id").agg(F.count("*").alias("fragments"))
-    out = prompts.select("prompt_id").join(cached, "prompt_id", "left")
+    out = T.read(spark, d, "documents").select(F.col("doc_id").alias("prompt_id")).join(cached, "prompt_id", "left")
     return out.select("prompt_id", F.col("fragments").isNotNull().alias("hit"), F.coalesce("fragments", F.lit(0)).alias("fragments"))
 
 

@@ -1,4 +1,4 @@
-"""Cutting the lineage of iterative operators."""
+"""Cutting lineage into the shared folder that the session names."""
 
 from __future__ import annotations
 
@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder that the session names as spark.checkpoint.dir (a local one only where none is named)."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    """Checkpoint into spark.checkpoint.dir; a temporary folder only where driver and tasks are one process, as in tests."""
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()

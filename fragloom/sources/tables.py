@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fragloom.functions.hashing import tuple_hash
-
 #: What a fragment must satisfy to be stored.
 FRAGMENT_SCHEMA = "content_hash string, model_id string, layer_start int, layer_end int, token_start int, token_end int, size bigint, ttl double, reuse_score double, version_id int"
 
@@ -26,6 +26,12 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("prompt_id"), F.col("lang").alias("model_id"), F.col("source").alias("tenant"), word_tokens(F.col("text")).alias("tokens"))
 
 
+def prompt_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(prompt_id, length): prompts with their number of words, which needs no word hashed."""
+    n = F.size(F.filter(F.split("text", "[ \\t\\n\\r]+"), lambda w: w != ""))
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("prompt_id"), n.alias("length"))
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as token arrays, in order."""
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", word_tokens(F.col("text")).alias("tokens"))
@@ -101,20 +107,24 @@ def from_map(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, *[F.col("fields")[n].cast(t).alias(n) for n, t in (c.split() for c in FRAGMENT_SCHEMA.split(", "))])
 
 
-def prefixed_key(prefix: str, suffix: Column) -> Column:
-    return F.concat(F.lit(prefix), suffix)
+GOSSIP = "node_id string, timestamp double, peers array<struct<node_id: string, host: string, port: int, healthy: boolean>>, fragment_locations map<string, array<string>>, inventory_digest map<string, int>"
+
 
+def gossip_to_json(states: DataFrame, *keys: str) -> DataFrame:
+    """keys and the state (node, time, peers, locations, digest) as JSON."""
+    return states.select(*keys, F.to_json(F.struct("node_id", "timestamp", "peers", "fragment_locations", "inventory_digest")).alias("payload"))
 
-def random_lengths(spark: SparkSession, n: int, seed: int = 42, mu: float = 9.9, sigma: float = 1.0, low: int = 128, high: int = 131072) -> DataFrame:
-    """n log-normal lengths within low and high, by drawing more than needed and keeping the first n."""
-    drawn = spark.range(2 * n + 1000).select("id", F.exp(F.lit(mu) + F.lit(sigma) * F.randn(seed)).cast("long").alias("length"))
-    return drawn.where(F.col("length").between(low, high)).orderBy("id").limit(n).select("length")
 
+def gossip_from_json(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.select(*keys, F.from_json("payload", GOSSIP).alias("x")).select(*keys, "x.*")
 
-def fragment_rows(windows: DataFrame) -> DataFrame:
-    """Windows in the fragment schema."""
-    return windows.select("content_hash", "model_id", F.lit(0).alias("layer_start"), F.lit(0).alias("layer_end"), "token_start", "token_end", "size", F.lit(3600.0).alias("ttl"), F.lit(0.5).alias("reuse_score"), F.lit(1).alias("version_id"))
 
+def random_lengths(rows: DataFrame, key: str, seed: int = 42, mu: float = 9.9, sigma: float = 1.0, low: int = 128, high: int = 131072, draws: int = 8) -> DataFrame:
+    """rows with a log-normal `length` within low and high: the first of the row's draws that is, else its nearest bound.
 
-def content_key(tokens: Column) -> Column:
-    return tuple_hash(tokens)
+    A draw turns two uniform numbers, from the MD5 of seed, key and turn, into a normal one."""
+    uniform = lambda i, s: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), i.cast("string"))), s, 12), 16, 10).cast("double") + 0.5) / float(16**12)
+    normal = lambda i: F.sqrt(-2.0 * F.log(uniform(i, 1))) * F.cos(2.0 * math.pi * uniform(i, 17))
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda i: F.floor(F.exp(F.lit(mu) + F.lit(sigma) * normal(i))).cast("long"))
+    first = F.get(F.filter(drawn, lambda x: x.between(low, high)), F.lit(0))
+    return rows.withColumn("length", F.coalesce(first, F.greatest(F.lit(low), F.least(F.lit(high), F.get(drawn, F.lit(0))))))
