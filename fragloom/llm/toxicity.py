@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from fragloom.llm.common import byte_rows, slices
 
 WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, WORD_ROWS, CHAR_ROWS = 48, 40, 8, 8, 16, 1 << 15, 1 << 15
-SAMPLE, ROUNDS, STEPS, BATCH, RATE, SEED, THRESHOLD = 4000, 6, 500, 128, 0.01, 7, 0.7
+SAMPLE, ROUNDS, STEPS, BATCH, RATE, SEED, THRESHOLD = 2500, 6, 500, 128, 0.01, 7, 0.7
 CACHE_WORDS, SCORE_BATCH, MEAN_WORDS, FRESH_WORDS = 200_000, 2048, 16_384, 16_384
 GRAMS = (3, 4, 5)
 EDGES = b".,;:!?\"'()[]{}|*#-"
