@@ -47,6 +47,26 @@ def longest_prefix(prompts: DataFrame, stored: DataFrame, attempts: int = 128) -
     return hits.groupBy("prompt_id").agg(F.max("n").alias("n"), F.max_by("content_hash", "n").alias("content_hash"))
 
 
+def prefix_fragments(prompts: DataFrame, stored: DataFrame, attempts: int = 128, owner: str | None = None) -> DataFrame:
+    """(prompt_id, token_start, token_end, content_hash): the stored fragment that holds each prompt's longest stored
+    prefix, of several the one with the smallest span. Its own span counts as covered, wherever it lies. With `owner`
+    (as in `extend`) a prompt's own fragments do not count.
+
+    Only prefixes as long as some stored fragment reach the join; there are no more such lengths than the longest
+    fragment has tokens."""
+    named, span = ["content_hash", "model_id"], F.struct("token_start", "token_end")
+    if owner:
+        each = stored.groupBy(*named, F.col(owner).cast("long").alias("owner")).agg(F.min(span).alias("span"))
+        held = best(each, named, [F.col("span"), F.col("owner")], 2)
+    else:
+        held = stored.groupBy(*named).agg(F.min(span).alias("span")).withColumn("owner", F.lit(None).cast("long"))
+    lengths = stored.select((F.col("token_end") - F.col("token_start") + 1).cast("int").alias("n")).distinct()
+    tried = prefix_hashes(prompts, attempts).join(F.broadcast(lengths), "n", "left_semi")
+    hits = tried.join(held, named).where(~F.col("owner").eqNullSafe(F.col("prompt_id")))
+    found = hits.groupBy("prompt_id").agg(F.min_by(F.struct("span", "content_hash"), F.struct(-F.col("n"), F.col("span"))).alias("x"))
+    return found.select("prompt_id", "x.span.token_start", "x.span.token_end", "x.content_hash")
+
+
 def extend(stored: DataFrame, ends: DataFrame, gap: int = 256, owner: str | None = None) -> DataFrame:
     """(prompt_id, token_start, token_end, content_hash): fragments found forward of each prompt's covered end.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fragloom.functions.hashing import norm
 from fragloom.operators.joins import best
+from fragloom.sources.checkpoints import cut
 
 
 def top_neighbours(rows: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
@@ -48,22 +49,46 @@ def top_neighbours(rows: DataFrame, queries: DataFrame, k: int = 5, block: int =
     return best(found, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k)
 
 
-def leader_clusters(rows: DataFrame, key: str, threshold: float = 0.95) -> DataFrame:
+def leader_clusters(rows: DataFrame, key: str, threshold: float = 0.95, block: int = 2048) -> DataFrame:
     """(key, vec_id, leader): the first unassigned vector of a key leads; others join it at a cosine of `threshold` or
-    more. Keys are the caller's partition of the vectors; each is taken in order of vec_id."""
+    more (to 12 places). Keys are the caller's partition of the vectors; each is taken in order of vec_id.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        x = np.stack(pdf["embedding"].to_numpy()).astype(float)
-        length = np.linalg.norm(x, axis=1)
-        x = x / np.where(length == 0, 1, length)[:, None]
-        leader, free = np.full(len(x), -1), np.ones(len(x), bool)
-        for i in range(len(x)):
-            if free[i]:
-                joined = free & (x @ x[i] >= threshold)
-                joined[i] = True
-                leader[joined], free[joined] = i, False
-        ids = pdf["vec_id"].to_numpy()
-        return pd.DataFrame({key: pdf[key].to_numpy(), "vec_id": ids, "leader": ids[leader]})
+    Rounds: the first `block` unassigned vectors of all keys are settled among themselves, and their leaders (`block`
+    vectors at most) go over all that are unassigned; each joins the first leader of its key that takes it. Leaders of
+    a block come before all that is left, so this is the order of one vector at a time. Rows without a key, id or vector
+    take no part; a zero vector leads itself."""
+    kind = dict(rows.dtypes)[key]
+    length = norm(F.col("embedding"))
+    unit = F.transform("embedding", lambda v: v / F.when(length == 0, 1.0).otherwise(length))
+    free = cut(rows.where(F.col(key).isNotNull() & F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(key, F.col("vec_id").cast("long").alias("vec_id"), unit.alias("v")))
+    done = []
+    while first := free.orderBy("vec_id", key, "v").limit(block).collect():
+        leads: dict = {}  # key -> ids and vectors of its leaders, in order
+        for r in first:
+            ids, vectors = leads.setdefault(r[key], ([], []))
+            v = np.array(r.v)
+            if not ids or not (np.round(np.array(vectors) @ v, 12) >= threshold).any():
+                ids.append(r.vec_id)
+                vectors.append(v)
+        held = {k: (np.array(ids), np.array(vectors)) for k, (ids, vectors) in leads.items()}
 
-    return rows.select(key, "vec_id", "embedding").groupBy(key).applyInPandas(run, f"{key} {dict(rows.dtypes)[key]}, vec_id long, leader long")
+        def join(batches, held=held):
+            for pdf in batches:
+                leader = np.full(len(pdf), -1)
+                taken = np.zeros(len(pdf), bool)
+                for k, at in pdf.groupby(key).indices.items():
+                    if k in held:
+                        ids, vectors = held[k]
+                        mine = pdf["vec_id"].to_numpy()[at]
+                        fits = np.round(np.stack(pdf["v"].to_numpy()[at]) @ vectors.T, 12) >= threshold
+                        fits |= mine[:, None] == ids[None, :]
+                        taken[at], leader[at] = fits.any(axis=1), ids[fits.argmax(axis=1)]
+                yield pdf.assign(leader=leader, taken=taken)
+
+        judged = cut(free.mapInPandas(join, f"{key} {kind}, vec_id long, v array<double>, leader long, taken boolean"))
+        done.append(judged.where("taken").select(key, "vec_id", "leader"))
+        free = judged.where(~F.col("taken")).select(key, "vec_id", "v")
+    out = done[0] if done else free.select(key, "vec_id", F.col("vec_id").alias("leader"))
+    for part in done[1:]:
+        out = out.union(part)
+    return out

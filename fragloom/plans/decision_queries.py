@@ -86,7 +86,11 @@ def label_cosine(spark, d):
     return rows.join(first, "label").select("vec_id", F.round(cosine(F.col("embedding"), F.col("f")), 6).alias("score"))
 
 
-@query("leader_clusters")
+@query("leader_clusters", """WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings),
+  near AS (SELECT b.label, b.vec_id, list(a.vec_id) AS leads FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id AND round(list_cosine_similarity(a.v, b.v), 12) >= 0.6 GROUP BY 1, 2),
+  o AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r, coalesce(leads, []::BIGINT[]) AS leads FROM e LEFT JOIN near USING (label, vec_id)),
+  walk AS (SELECT DISTINCT label, 0::BIGINT AS r, []::BIGINT[] AS leaders FROM e UNION ALL SELECT walk.label, o.r, CASE WHEN list_has_any(leaders, leads) THEN leaders ELSE list_append(leaders, vec_id) END FROM walk JOIN o ON o.label = walk.label AND o.r = walk.r + 1)
+  SELECT label, vec_id, coalesce(list_min(list_intersect(leads, leaders)), vec_id) AS leader FROM o JOIN walk USING (label, r)""")
 def leader_clusters(spark, d):
     return V.leader_clusters(T.vectors(spark, d), "label", 0.6)
 
@@ -315,13 +319,27 @@ def optimal_nodes(spark, d):
     return R.best_nodes(prompts, holders, loads)
 
 
-@query("reconstruct")
+@query("reconstruct", f"""WITH RECURSIVE {_PREFIX}, {S.windows(48)}, size AS (SELECT prompt_id, model_id, len(tokens) AS length FROM prompts),
+  x AS (SELECT prompt_id, model_id, n, {S.tuple_hash('tokens[1:n]')} AS content_hash FROM (SELECT *, unnest(range(len(tokens), 0, -step)) AS n FROM p) WHERE n <= 48),
+  hit AS (SELECT x.prompt_id, min({{'less': -n, 's': token_start, 'e': token_end}}) AS h FROM x JOIN win ON win.content_hash = x.content_hash AND win.model_id = x.model_id AND win.prompt_id <> x.prompt_id GROUP BY 1),
+  spans AS (SELECT model_id, token_start, token_end, prompt_id AS owner, min(content_hash) AS content_hash FROM win GROUP BY model_id, token_start, token_end, prompt_id QUALIFY row_number() OVER (PARTITION BY model_id, token_start, token_end ORDER BY min(content_hash), prompt_id) <= 2),
+  walk AS (SELECT size.prompt_id, model_id, length, CASE WHEN h.e IS NULL THEN -1 ELSE least(h.e, length - 1) END::BIGINT AS stop, h.s::BIGINT AS s FROM size LEFT JOIN hit ON hit.prompt_id = size.prompt_id AND h.s < length
+    UNION ALL SELECT prompt_id, model_id, length, x.e::BIGINT, x.s::BIGINT FROM (SELECT w.prompt_id, w.model_id, w.length, min({{'s': token_start, 'h': content_hash, 'e': token_end}}) AS x
+      FROM walk w JOIN spans v ON v.model_id = w.model_id AND v.token_start > w.stop AND v.token_start <= w.stop + 256 AND v.token_end < w.length AND v.owner <> w.prompt_id GROUP BY 1, 2, 3)),
+  iv AS (SELECT prompt_id, length, s AS a, stop AS b FROM walk WHERE s IS NOT NULL UNION ALL SELECT prompt_id, length, length, length FROM size),
+  m AS (SELECT prompt_id, length, a, coalesce(max(b) OVER (PARTITION BY prompt_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) + 1 AS open FROM iv),
+  g AS (SELECT prompt_id, length, coalesce(sum(a - open) FILTER (open < a), 0)::BIGINT AS missing, count(*) FILTER (open < a) AS gaps, count(*) FILTER (a - open > 256) AS prefilled FROM m GROUP BY 1, 2)
+  SELECT prompt_id, length, length - missing AS covered, round(CASE WHEN length > 0 THEN (length - missing) / length ELSE 1 END, 6) AS ratio, gaps, prefilled FROM g""")
 def reconstruct(spark, d):
-    """Context of each prompt rebuilt from the windows of its model's other prompts: coverage and missing stretches."""
+    """Context of each prompt rebuilt from the windows of its model's other prompts: the longest stored prefix, what
+    follows it, coverage and missing stretches."""
     prompts = T.prompts(spark, d)
     stored = W.token_windows(prompts, 48).select("prompt_id", "model_id", "token_start", "token_end", "content_hash")
-    ends = prompts.select("prompt_id", "model_id", F.size("tokens").alias("length"), F.lit(-1).alias("at"))
-    spans = R.extend(stored, ends, owner="prompt_id")
+    sizes = prompts.select("prompt_id", "model_id", F.size("tokens").alias("length"))
+    first = R.prefix_fragments(prompts, stored, owner="prompt_id")
+    begun = sizes.join(first, "prompt_id", "left").withColumn("within", F.coalesce(F.col("token_start") < F.col("length"), F.lit(False)))
+    ends = begun.select("prompt_id", "model_id", "length", F.when(F.col("within"), F.least("token_end", F.col("length") - 1)).otherwise(-1).alias("at"))
+    spans = R.extend(stored, ends, owner="prompt_id").union(begun.where("within").select("prompt_id", "token_start", "token_end", "content_hash"))
     got, missing = R.coverage(prompts, spans)
     holes = missing.groupBy("prompt_id").agg(F.count("*").alias("gaps"), F.count_if("prefill").alias("prefilled"))
     return got.join(holes, "prompt_id", "left").select("prompt_id", "length", "covered", F.round("ratio", 6).alias("ratio"), F.coalesce("gaps", F.lit(0)).alias("gaps"), F.coalesce("prefilled", F.lit(0)).alias("prefilled"))
