@@ -3,6 +3,7 @@
 import hashlib
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,25 @@ def test_clusters(spark):
     assert count(0.8) == 1 and count(0.99) == 2
 
 
+def test_cluster_blocks_do_not_change_the_leaders(spark):
+    """Against one vector at a time; with a zero vector, a repeated row, rows that take no part, and no rows."""
+    rng = np.random.default_rng(3)
+    made = [(int(g), i, [float(x) for x in v]) for i, (g, v) in enumerate(zip(rng.integers(0, 3, 90), rng.standard_normal((90, 3))))]
+    given = made + [(0, 90, [0.0, 0.0, 0.0]), made[5], (1, None, [1.0, 0.0, 0.0]), (None, 91, [1.0, 0.0, 0.0]), (2, 92, None)]
+    want, leads = set(), {}
+    for g, i, v in made + [given[90]]:
+        unit = np.array(v) / (np.linalg.norm(v) or 1)
+        first = next((j for j, u in leads.get(g, []) if u @ unit >= 0.9), None)
+        if first is None:
+            leads.setdefault(g, []).append((i, unit))
+        want.add((g, i, i if first is None else first))
+    rows = spark.createDataFrame(given, "g int, vec_id long, embedding array<double>")
+    for block in (7, 2048):
+        got = vectors.leader_clusters(rows, "g", 0.9, block).collect()
+        assert len(got) == 92 and {tuple(r) for r in got} == want
+    assert vectors.leader_clusters(rows.where("false"), "g").count() == 0
+
+
 def test_graph_walks(spark):
     edges = spark.createDataFrame([("a", "b", "next", 0.9), ("b", "c", "next", 0.9), ("c", "d", "next", 0.4), ("c", "a", "next", 0.9)], "src string, dst string, edge_type string, weight double")
     seeds = spark.createDataFrame([("a",), ("zz",)], "seed string")
@@ -209,6 +229,17 @@ def test_reconstruct_takes_every_prompt_and_the_windows_of_all_others(spark, tmp
     assert got == {1: (130, 96, 1), 2: (96, 96, 0), 3: (96, 96, 0), 4: (131, 96, 1)}
 
 
+def test_prefix_fragments(spark):
+    """The longest prefix that another prompt's fragment holds, of equal ones the smallest span; model and owner count."""
+    prompts = spark.createDataFrame([(1, "m", list(range(9))), (2, "m", [0, 1, 2, 7]), (3, "o", [0, 1, 2]), (4, "m", [])], "prompt_id long, model_id string, tokens array<long>")
+    name = lambda *x: hashlib.md5(str(tuple(x)).encode()).hexdigest()
+    stored = [("m", 0, 2, name(0, 1, 2), 2), ("m", 6, 8, name(0, 1, 2), 5), ("m", 3, 5, name(0, 1, 2), 5), ("m", 0, 0, name(0), 1), ("m", 0, 8, name(*range(9)), 1), ("m", 0, 3, name(5, 5, 5, 5), 7)]
+    held = spark.createDataFrame(stored, "model_id string, token_start int, token_end int, content_hash string, prompt_id long")
+    found = lambda **how: {r.prompt_id: (r.token_start, r.token_end) for r in reconstruct.prefix_fragments(prompts, held, **how).collect()}
+    assert found() == {1: (0, 8), 2: (0, 2)}
+    assert found(owner="prompt_id") == {1: (0, 2), 2: (3, 5)}
+
+
 def test_own_fragments_do_not_extend_a_prompt(spark):
     stored = spark.createDataFrame([("m", 0, 9, "a", 1), ("m", 0, 9, "b", 2), ("m", 0, 9, "c", 3), ("m", 10, 19, "d", 1)], "model_id string, token_start int, token_end int, content_hash string, prompt_id long")
     ends = spark.createDataFrame([(i, "m", 20, -1) for i in (1, 2, 3)], "prompt_id long, model_id string, length int, at int")
