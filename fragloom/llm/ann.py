@@ -113,7 +113,7 @@ def starting_lists(nodes: DataFrame, dims: int, k: int = DEGREE, rounds: int = P
                 if batch.num_rows:
                     v = _codes(batch.column(1), dims) @ planes.T
                     bits = (v[:, :-1] > 0) @ (1 << np.arange(planes.shape[0] - 2, -1, -1))
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits + 1 / (1 + np.exp(-v[:, -1].astype(np.float64))))], ["id", "v", "key"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits + 0.5 + np.arctan(v[:, -1] / 127.0) / np.pi)], ["id", "v", "key"])
 
         def compare(batches):
             ids, held = np.zeros(0, np.int64), None
