@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A null id is handled as this one, the largest, and given back as null.
 NO_ID = 2**63 - 1
+#: Parts over which the rows of a key are dealt out in with_facts.
+SALTS = 32
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -66,11 +68,23 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, spread: str) -> DataFrame:
+    """rows joined with facts (at most one row a key) on key, where one key may hold a great share of rows.
+
+    Each key is dealt out over SALTS parts by the column `spread`; facts are copied only to the parts in use, which are
+    found with partial aggregation, so a key has at most SALTS rows there and no task gets all rows of a key.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    used = salted.select(key, "_salt").distinct().join(facts, key)
+    return salted.join(used, [key, "_salt"]).drop("_salt")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) long pairs -> (node, root): the smallest node of each component, for nodes that have an edge.
 
     Smallest labels spread along edges and then along labels (pointer jumping); each round is cut by a checkpoint and
-    only a count of changed labels reaches the driver. Empty edges give no rows.
+    only a count of changed labels reaches the driver. Empty edges give no rows. A component of any size is dealt out
+    over SALTS keys where labels are looked up by root.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = cut(both.where("a <> b").distinct())
@@ -79,7 +93,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         heard = links.join(labels, links.b == labels.node).select(F.col("a").alias("node"), "root")
         spread = heard.union(labels).groupBy("node").agg(F.min("root").alias("root"))
         up = labels.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        jumped = spread.join(up, "root", "left").select("node", F.least("root", "above").alias("root"))
+        jumped = with_facts(spread, up, "root", "node").select("node", F.least("root", "above").alias("root"))  # every root is a node with a label
         old = labels.withColumnRenamed("root", "before")
         changed = cut(jumped.join(old, "node").select("node", "root", (F.col("root") < F.col("before")).alias("moved")))
         labels = changed.select("node", "root")

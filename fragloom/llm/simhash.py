@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fragloom.llm.common import byte_rows, connected_components, cut, id_back, id_of, slices
+from fragloom.llm.common import byte_rows, connected_components, cut, id_back, id_of, slices, with_facts
 
 WORDS, SEED, DISTANCE, TILE, FAN = 4, 42, 4, 4096, 16
 CHUNK = 65_536
@@ -123,7 +123,7 @@ def simhash_groups(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     roots = connected_components(links(distinct.select("fp"), distance))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    classes = rooted.join(least, "root").select("fp", "component")
+    classes = with_facts(rooted, least, "root", "fp").select("fp", "component")
     return marked.join(classes, "fp").select(id_back("id").alias("doc_id"), "fp", id_back("component").alias("component_id"))
 
 
