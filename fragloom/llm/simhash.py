@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from fragloom.llm.common import byte_rows, connected_components, cut, id_back, id_of, slices, with_facts
 
-WORDS, SEED, DISTANCE, TILE, FAN = 4, 42, 4, 4096, 16
+WORDS, SEED, DISTANCE, TILE, SPLIT, FAN = 4, 42, 4, 4096, 15, 16
 CHUNK = 65_536
 
 
@@ -60,12 +60,34 @@ def _blocks(parts: int) -> list[tuple[int, int]]:
     return [(sum(sizes[:i]), size) for i, size in enumerate(sizes)]
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _masks(parts: int, distance: int) -> list[int]:
+    """The bits of each choice of parts - distance blocks."""
+    return [sum(((1 << bits) - 1) << shift for shift, bits in chosen) for chosen in combinations(_blocks(parts), parts - distance)]
+
+
+def _rest_masks(mask: int, distance: int) -> list[int]:
+    """The same over the bits that mask leaves: distance + 2 nearly equal parts of them, each choice of two."""
+    rest = [i for i in range(64) if not mask >> i & 1]
+    parts = distance + 2
+    cuts = [len(rest) * i // parts for i in range(parts + 1)]
+    return [sum(1 << i for part in chosen for i in part) for chosen in combinations([rest[a:b] for a, b in zip(cuts, cuts[1:])], 2)]
+
+
 def _keys(distinct: DataFrame, parts: int, distance: int) -> DataFrame:
-    """(choice, key, fp): each fingerprint under each choice of parts - distance blocks."""
-    masks = [sum(((1 << bits) - 1) << shift for shift, bits in chosen) for chosen in combinations(_blocks(parts), parts - distance)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    made = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(signed)])
-    return distinct.select("fp", F.explode(made).alias("k")).select("k.choice", "k.key", "fp")
+    """(choice, key, sub, rest, fp): each fingerprint under each choice of blocks; sub is -1 (not cut further)."""
+    made = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key")) for i, m in enumerate(_masks(parts, distance))])
+    return distinct.select("fp", F.explode(made).alias("k")).select("k.choice", "k.key", F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("rest"), "fp")
+
+
+def _further(keys: DataFrame, parts: int, distance: int) -> DataFrame:
+    """keys cut by two further blocks of the bits that their choice leaves: what is linked still shares a key."""
+    masks = F.array(*[F.array(*[F.lit(_signed(m)).cast("long") for m in _rest_masks(mask, distance)]) for mask in _masks(parts, distance)])
+    made = keys.select("choice", "key", "fp", F.posexplode(masks[F.col("choice")]).alias("sub", "mask"))
+    return made.select("choice", "key", "sub", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"), "fp")
 
 
 def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -86,19 +108,30 @@ def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return edges
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE, tile: int = TILE) -> DataFrame:
-    """(a, b): edges whose components are those of all links among the distinct fingerprints (fp)."""
+def links(distinct: DataFrame, distance: int = DISTANCE, tile: int = TILE, split: int = SPLIT) -> DataFrame:
+    """(a, b): edges whose components are those of all links among the distinct fingerprints (fp).
+
+    A bucket of more than split tiles is first cut by two further blocks (as many copies as `split` tiles would make)."""
     n = distinct.count()
     parts = next((p for p in range(distance + 2, distance + 4) if n < 1 << (2 * 64 * (p - distance) // p) // 2), distance + 4)
+    bucket = ["choice", "key", "sub", "rest"]
+
+    def crowded(keys: DataFrame) -> DataFrame:
+        return keys.groupBy(*bucket).count().where(F.col("count") > tile).select(*bucket, F.ceil(F.col("count") / tile).cast("int").alias("n"))
+
     keys = _keys(distinct, parts, distance)
-    hot = cut(keys.groupBy("choice", "key").count().where(F.col("count") > tile).select("choice", "key", F.ceil(F.col("count") / tile).cast("int").alias("n")))
+    hot = cut(crowded(keys))
+    if not (huge := hot.where(F.col("n") > split)).isEmpty():
+        further = cut(_further(keys.join(huge.select(*bucket), bucket, "left_semi"), parts, distance))
+        keys = keys.join(huge.select(*bucket), bucket, "left_anti").unionByName(further)
+        hot = cut(hot.where(F.col("n") <= split).unionByName(crowded(further)))
     if hot.isEmpty():
-        dealt = keys.withColumn("tile", F.lit(0))
+        dealt = keys.withColumn("tile", F.lit(0).cast("long"))
     else:
-        mine = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
-        tiles = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.least(i, mine) * 100_000 + F.greatest(i, mine))
-        dealt = keys.join(hot, ["choice", "key"], "left").select("choice", "key", "fp", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(tiles)).alias("tile"))
-    buckets = dealt.groupBy("choice", "key", "tile").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+        mine = F.pmod(F.xxhash64("fp"), F.col("n"))
+        tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1), lambda i: F.least(i, mine) * 1_000_000 + F.greatest(i, mine))
+        dealt = keys.join(hot, bucket, "left").select(*bucket, "fp", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(tiles)).alias("tile"))
+    buckets = dealt.groupBy(*bucket, "tile").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
 
     def run(batches):
         for batch in batches:

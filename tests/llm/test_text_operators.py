@@ -122,13 +122,13 @@ def near_rows():
     return rows + samples()
 
 
-@pytest.mark.parametrize("tile", [4096, 2])
-def test_simhash_groups_match_all_pairs(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile, split", [(4096, 15), (2, 15), (2, 1)])  # whole buckets, tiles, further blocks and tiles
+def test_simhash_groups_match_all_pairs(spark, monkeypatch, tile, split):
     rows = near_rows()
     fps = {t: slow_fingerprint(t) for _, t, _ in rows}
     distinct = sorted(set(fps.values()))
     links = simhash.links
-    monkeypatch.setattr(simhash, "links", lambda d, k: links(d, k, tile))
+    monkeypatch.setattr(simhash, "links", lambda d, k: links(d, k, tile, split))
     root = components(distinct, lambda a, b: (a ^ b).bit_count() <= 4)
     big = lambda i: 2**63 - 1 if i is None else i
     least = {}
@@ -318,3 +318,13 @@ def test_connected_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.root for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_a_component_of_many_nodes_and_facts_of_one_key(spark):
+    edges = [(0, i) for i in range(1, 300)] + [(500, 501)]
+    got = {r.node: r.root for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(300)} | {500: 500, 501: 500}
+    rows = spark.createDataFrame([(0, i) for i in range(200)] + [(1, 7), (2, 8), (1, 7)], "k long, x long")
+    facts = spark.createDataFrame([(0, "a"), (1, "b")], "k long, f string")
+    got = Counter((r.k, r.x, r.f) for r in common.with_facts(rows, facts, "k", "x").collect())
+    assert got == Counter([(0, i, "a") for i in range(200)] + [(1, 7, "b")] * 2)
