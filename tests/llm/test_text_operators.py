@@ -287,8 +287,8 @@ def test_decontamination_finds_all_within_the_budget(spark):
         rows.append((i, text(20) + "\n" + "".join(passage).upper() + "  " + text(15), "s"))
     rows += [(90, None, "s"), (91, "", "s"), (None, items[0][1], "s"), (1, rows[1][1], "s")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for size in (10**6, 150):  # one block, several blocks
-        got = sorted(((r.doc_id is None, r.doc_id or 0), r.item_id, r.distance) for r in decontamination.contaminated(frame(spark, rows), bench, block_chars=size).collect())
+    for size, passes in ((10**6, 4), (150, 100), (150, 0)):  # one block, several blocks, joined
+        got = sorted(((r.doc_id is None, r.doc_id or 0), r.item_id, r.distance) for r in decontamination.contaminated(frame(spark, rows), bench, block_chars=size, passes=passes).collect())
         want = []
         for i, t, _ in rows:
             for j, item in items[:8]:
@@ -328,3 +328,21 @@ def test_a_component_of_many_nodes_and_facts_of_one_key(spark):
     facts = spark.createDataFrame([(0, "a"), (1, "b")], "k long, f string")
     got = Counter((r.k, r.x, r.f) for r in common.with_facts(rows, facts, "k", "x").collect())
     assert got == Counter([(0, i, "a") for i in range(200)] + [(1, 7, "b")] * 2)
+
+
+def test_decontamination_by_joins_equals_blocks(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(1, 4)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, text(rng.choice([1, 2, 4, 12, 30]))) for i in range(40)] + [(None, "ab ab"), (3, "ab ab"), (7, None), (8, " .. ")]
+    rows = []
+    for i in range(60):
+        passage = list(items[i % 40][1])
+        for _ in range(rng.randint(0, 3)):
+            passage[rng.randrange(len(passage))] = rng.choice("ab ")
+        rows.append((i, text(rng.randint(0, 10)) + "".join(passage) + "\n " + text(5) + "".join(passage), "s"))
+    rows += [(None, "ab ab", "s"), (2, rows[2][1], "s"), (2, "ab", "s"), (90, None, "s"), (91, "", "s"), (92, items[3][1] * 400, "s")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = lambda passes: Counter(map(tuple, decontamination.contaminated(frame(spark, rows), bench, passes=passes).collect()))
+    assert found(4) == Counter(map(tuple, decontamination.joined(frame(spark, rows), bench).collect()))
+    assert decontamination.joined(frame(spark, []), bench).count() == 0 == decontamination.joined(frame(spark, rows), spark.createDataFrame([], "item_id long, text string")).count()
