@@ -96,14 +96,15 @@ def apply_delta(base: Column, removed: Column, appended: Column) -> Column:
     return F.when(bad, F.raise_error(F.lit("removed_tail is out of range")).cast("array<bigint>")).otherwise(F.concat(F.slice(base, F.lit(1), F.size(base) - removed), appended))
 
 
-def byte_units(n: Column) -> Column:
-    """1536 -> "1.5 KiB"."""
-    size, out = n.cast("double"), None
-    for power, unit in enumerate(["B", "KiB", "MiB", "GiB", "TiB"]):
-        scaled = size / float(1024**power)
-        text = F.format_string("%.1f " + unit, F.bround(scaled, 1))  # powers of two: exact, so halves go to even
-        out = F.when(F.abs(scaled) < 1024, text) if out is None else out.when(F.abs(scaled) < 1024, text)
-    return out.otherwise(F.format_string("%.1f PiB", F.bround(size / float(1024**5), 1)))
+def byte_units(n: Column, largest: str = "PiB") -> Column:
+    """1536 -> "1.5 KiB"; sizes past the largest unit stay in it."""
+    units = ["B", "KiB", "MiB", "GiB", "TiB", "PiB"]
+    size = F.abs(n.cast("double"))
+    scale, name = F.lit(float(1024 ** units.index(largest))), F.lit(" " + largest)
+    for power in reversed(range(units.index(largest))):
+        below = size < float(1024 ** (power + 1))
+        scale, name = F.when(below, float(1024**power)).otherwise(scale), F.when(below, " " + units[power]).otherwise(name)
+    return F.concat(F.when(n < 0, "-").otherwise(""), tenths(size / scale), name)
 
 
 def tenths(x: Column) -> Column:

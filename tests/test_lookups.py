@@ -62,3 +62,16 @@ def test_objects_come_back_with_placeholders(spark):
     seg = objects.kv_segments(one).first()
     assert (seg.layer, seg["head"], seg.tensor_shape, seg.semantic_hash) == (3, 0, [1, 1, 1], "h")
     assert objects.artifacts(one).first().source_url == "" and objects.tool_traces(one).first().output_hash == "h"
+
+
+def test_bytes_stay_in_the_largest_unit_and_round_as_the_exact_value_does(spark):
+    sizes = [0, 1023, 1536, 1075, 1280, 1331, 1048575, 2**40 - 1, 2**40, 7 * 396_325**2 + 13, 3 * 2**50, 2**53 + 4096, -1536]
+    rows = spark.createDataFrame([(s,) for s in sizes], "s long")
+    got = rows.select("s", hashing.byte_units(F.col("s"), "GiB").alias("g"), hashing.byte_units(F.col("s")).alias("p")).collect()
+
+    def want(s, units):
+        power = next((i for i in range(len(units) - 1) if abs(s) < 1024 ** (i + 1)), len(units) - 1)
+        return f"{s / 1024**power:.1f} {units[power]}"
+
+    for r in got:
+        assert (r.g, r.p) == (want(r.s, ["B", "KiB", "MiB", "GiB"]), want(r.s, ["B", "KiB", "MiB", "GiB", "TiB", "PiB"]))
