@@ -43,7 +43,9 @@ def norm(vector: Column) -> Column:
 def embedding(content_hash: Column, dim: int) -> Column:
     """Unit vector derived from a content hash."""
     raw = F.transform(generator_states(content_hash, dim), lambda s: s / F.lit(float(MODULUS)) * 2 - 1)
-    return F.transform(raw, lambda v: v / norm(raw))
+    # bound once by one-element arrays: named again, they would be made again for every component
+    scaled = lambda x: F.transform(F.array(norm(x)), lambda n: F.transform(x, lambda v: v / n))[0]
+    return F.transform(F.array(raw), scaled)[0]
 
 
 def dot(a: Column, b: Column) -> Column:
