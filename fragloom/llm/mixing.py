@@ -3,7 +3,8 @@
 Targets: sources, ordered by code point (null last), weigh WEIGHTS in turn and share SHARE times all words; no target
 passes CAP times its source's size, and what is over goes to the others by weight until none is above. Blocks of BLOCK
 words are then allocated by highest quotients: first to sources by target, then within each source to its shards by
-size. In a shard, documents lie in a seeded order; a quota of q over n blocks takes every block q div n times and a
+size. A shard's last block may be short, so a source gets as many more blocks as its target loses by them: words taken
+would else fall short of it by up to two blocks a shard. In a shard, documents lie in a seeded order; a quota of q over n blocks takes every block q div n times and a
 seeded q mod n of them once more. A document's taken words are those of its blocks' parts that lie in it.
 
 apportion() finds the same seats as ranking all quotients would: one pass over the members sums the seats under a grid
@@ -96,7 +97,10 @@ def mixture(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float =
     placed = cut(placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("shards"))).withColumn("turn", F.xxhash64(F.lit(seed + 1), "id")))
     per = placed.groupBy("src", "shard").agg(F.sum("size").alias("shard_size"), F.max("source_quota").alias("source_quota"))
     blocks = F.ceil(F.col("shard_size") / block)
-    per = per.withColumn("n", blocks).withColumn("most", F.floor(blocks * cap))
+    per = cut(per.withColumn("n", blocks).withColumn("most", F.floor(blocks * cap)))
+    short = per.groupBy("src").agg(F.sum("shard_size").alias("_words"), F.sum("n").alias("_blocks")).where("_words > 0").join(quotas.select("src", "target"), "src")
+    short = short.select("src", F.round(F.col("target") * (F.col("_blocks") / F.col("_words") - F.lit(1.0 / block))).cast("long").alias("_short"))
+    per = per.join(short, "src", "left").withColumn("source_quota", F.col("source_quota") + F.coalesce("_short", F.lit(0))).drop("_short")
     shares = apportion(per, ["src"], ["shard"], "shard_size", "source_quota", "most").select("src", "shard", "n", F.col("quota").alias("q"))
     order = Window.partitionBy("src", "shard").orderBy("turn", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     laid = placed.withColumn("end", F.sum("size").over(order)).join(shares, ["src", "shard"], "left")
