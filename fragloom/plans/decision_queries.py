@@ -39,14 +39,14 @@ def _probes(spark, d):
 
 @query("span_overlap", f"WITH {_SPANS} SELECT probe, count(*) AS hits, min(start) AS least, max(stop) AS most FROM probes JOIN spans ON spans.grp = probes.grp AND start <= q_stop AND stop >= q_start GROUP BY probe")
 def span_overlap(spark, d):
-    met = J.overlap_join(_spans(spark, d), _probes(spark, d), ["grp"], 32)
-    return met.groupBy("probe").agg(F.count("*").alias("hits"), F.min("start").alias("least"), F.max("stop").alias("most"))
+    met = J.overlap_counts(_spans(spark, d), _probes(spark, d), ["grp"])
+    return met.groupBy("probe").agg(F.sum("hits").alias("hits"), F.min("least").alias("least"), F.max("most").alias("most"))
 
 
 @query("span_adjacent", f"WITH {_SPANS} SELECT probe, count(*) AS hits FROM (SELECT DISTINCT probe, id, line, start, stop FROM probes JOIN spans ON spans.grp = probes.grp AND ((start - q_start BETWEEN 0 AND 1) OR (q_start - stop BETWEEN 0 AND 1))) GROUP BY probe")
 def span_adjacent(spark, d):
     points = _probes(spark, d).select("probe", "grp", F.col("q_start").alias("position"))
-    return J.adjacent_join(_spans(spark, d), points, ["grp"], 1).groupBy("probe").agg(F.count("*").alias("hits"))
+    return J.adjacent_counts(_spans(spark, d), points, ["grp"], "probe", 1)
 
 
 _COVER = "raw AS (SELECT l_partkey AS part, epoch(l_shipdate)::BIGINT // 86400 AS start, epoch(l_shipdate)::BIGINT // 86400 + l_quantity::BIGINT AS stop FROM lineitem), ends AS (SELECT min(start) AS lo, max(stop) + 1 - min(start) AS length FROM raw), s AS (SELECT part, start - lo AS a, stop - lo AS b FROM raw, ends), m AS (SELECT part, a, b, coalesce(max(b) OVER (PARTITION BY part ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS open FROM (SELECT * FROM s UNION ALL SELECT DISTINCT part, length, length FROM s, ends))"
