@@ -19,7 +19,9 @@ def slices_of(tokens: Column, width: int) -> Column:
 def token_windows(prompts: DataFrame, width: int = 1024, dialect: str = "tuple") -> DataFrame:
     """A row for each window: span (both ends within), hash, size. dialect "comma" gives the compute windows."""
     hashed = tuple_hash if dialect == "tuple" else comma_hash
-    rows = prompts.where(F.size("tokens") > 0).select("prompt_id", "model_id", "tenant", F.posexplode(slices_of(F.col("tokens"), width)).alias("i", "part"))
+    # outer, and empty ones dropped after it: a filter by tokens or slices would go below the projection that makes the
+    # tokens, and there make them again for every slice
+    rows = prompts.select("prompt_id", "model_id", "tenant", F.posexplode_outer(slices_of(F.col("tokens"), width)).alias("i", "part")).where("part is not null")
     start = F.col("i") * width
     return rows.select("prompt_id", "model_id", "tenant", start.cast("int").alias("token_start"), (start + F.size("part") - 1).cast("int").alias("token_end"), hashed(F.col("part")).alias("content_hash"), (F.size("part") * BYTES_PER_TOKEN).cast("long").alias("size"), F.col("part").alias("tokens"))
 

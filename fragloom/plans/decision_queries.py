@@ -15,6 +15,7 @@ from fragloom.plans import model
 from fragloom.plans import sql as S
 from fragloom.plans.registry import registry
 from fragloom.sources import tables as T
+from fragloom.sources.checkpoints import cut
 
 QUERIES, ORACLES, query = registry()
 
@@ -299,7 +300,7 @@ def _stored_prefixes(spark, d):
     from fragloom.functions.hashing import tuple_hash
 
     rows = T.prompts(spark, d).where((F.col("prompt_id") % 3 != 0) & (F.size("tokens") > 0))
-    return rows.select("model_id", tuple_hash(F.slice("tokens", 1, 48)).alias("content_hash")).distinct()
+    return rows.select("model_id", tuple_hash(F.slice("tokens", 1, 48)).alias("content_hash"), F.least(F.size("tokens"), F.lit(48)).alias("n")).distinct()
 
 
 @query("longest_prefix", f"WITH {_PREFIX}, {_STORED}, x AS (SELECT prompt_id, model_id, n, {S.tuple_hash('tokens[1:n]')} AS content_hash FROM (SELECT *, unnest(range(len(tokens), 0, -step)) AS n FROM p)) SELECT prompt_id, max(n)::INT AS n, arg_max(content_hash, n) AS content_hash FROM x JOIN st USING (content_hash, model_id) GROUP BY prompt_id")
@@ -334,12 +335,12 @@ def reconstruct(spark, d):
     """Context of each prompt rebuilt from the windows of its model's other prompts: the longest stored prefix, what
     follows it, coverage and missing stretches."""
     prompts = T.prompts(spark, d)
-    stored = W.token_windows(prompts, 48).select("prompt_id", "model_id", "token_start", "token_end", "content_hash")
-    sizes = prompts.select("prompt_id", "model_id", F.size("tokens").alias("length"))
+    stored = cut(W.token_windows(prompts, 48).select("prompt_id", "model_id", "token_start", "token_end", "content_hash"))
+    sizes = T.prompt_sizes(spark, d)
     first = R.prefix_fragments(prompts, stored, owner="prompt_id")
     begun = sizes.join(first, "prompt_id", "left").withColumn("within", F.coalesce(F.col("token_start") < F.col("length"), F.lit(False)))
     ends = begun.select("prompt_id", "model_id", "length", F.when(F.col("within"), F.least("token_end", F.col("length") - 1)).otherwise(-1).alias("at"))
     spans = R.extend(stored, ends, owner="prompt_id").union(begun.where("within").select("prompt_id", "token_start", "token_end", "content_hash"))
-    got, missing = R.coverage(prompts, spans)
+    got, missing = R.coverage(sizes, cut(spans))
     holes = missing.groupBy("prompt_id").agg(F.count("*").alias("gaps"), F.count_if("prefill").alias("prefilled"))
     return got.join(holes, "prompt_id", "left").select("prompt_id", "length", "covered", F.round("ratio", 6).alias("ratio"), F.coalesce("gaps", F.lit(0)).alias("gaps"), F.coalesce("prefilled", F.lit(0)).alias("prefilled"))

@@ -27,9 +27,9 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompt_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(prompt_id, length): prompts with their number of words, which needs no word hashed."""
+    """(prompt_id, model_id, length): prompts with their number of words, which needs no word hashed."""
     n = F.size(F.filter(F.split("text", "[ \\t\\n\\r]+"), lambda w: w != ""))
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("prompt_id"), n.alias("length"))
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("prompt_id"), F.col("lang").alias("model_id"), n.alias("length"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

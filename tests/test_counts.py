@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from fragloom.llm import mixing
-from fragloom.operators import joins
+from fragloom.operators import joins, reconstruct
 from fragloom.plans import fragment_queries
 
 
@@ -49,3 +49,20 @@ def test_short_last_blocks_do_not_keep_a_source_below_its_target(spark, monkeypa
 def test_embeddings_are_not_made_below_distinct(spark):
     plan = fragment_queries.embedding_states(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "9301" not in plan.split("Aggregate")[-1].split("\n", 1)[1]
+
+
+def test_tokens_are_not_made_again_by_a_filter_below_the_windows(spark):
+    plan = fragment_queries.token_windows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "conv(" in line for line in plan.split("\n"))
+
+
+def test_short_prefixes_reach_no_further_tokens_and_walks_do_not_stall(spark):
+    prompts = spark.createDataFrame([(1, "m", list(range(500))), (2, "m", []), (3, "m", None)], "prompt_id long, model_id string, tokens array<long>")
+    whole = {(r.n, r.content_hash) for r in reconstruct.prefix_hashes(prompts).collect()}
+    some = {(r.n, r.content_hash) for r in reconstruct.prefix_hashes(prompts, most=48).collect()}
+    assert some == {x for x in whole if x[0] <= 48} and len(some) == 16
+    stored = spark.createDataFrame([("m", 5, 2, "a", 9), ("m", 6, 8, "b", None), ("m", 7, 9, "c", 2**53 + 1)], "model_id string, token_start int, token_end int, content_hash string, owner long")
+    ends = spark.createDataFrame([(2**53 + 1, "m", 20, -1), (2**53, "m", 20, -1)], "prompt_id long, model_id string, length int, at int")
+    for group in (1, 100):
+        got = sorted((r.prompt_id, r.content_hash) for r in reconstruct.extend(stored, ends, owner="owner", group=group).collect())
+        assert got == [(2**53, "a"), (2**53, "b"), (2**53 + 1, "a"), (2**53 + 1, "b")]
