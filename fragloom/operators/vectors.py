@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,12 +11,16 @@ from fragloom.functions.hashing import norm
 from fragloom.operators.joins import best
 from fragloom.sources.checkpoints import cut
 
+#: Queries and rows that are scored at once: 4 MB of scores.
+TILE_QUERIES, TILE_ROWS = 512, 1024
+
 
 def top_neighbours(rows: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
     """(query_id, vec_id, score): each query's k largest cosines over all rows (vec_id, embedding); ties by vec_id.
 
-    A stated query set goes over the rows in blocks: each task holds `block` queries at most as a matrix, keeps each
-    query's k best of its batch, and only those meet in the ranking. Zero vectors score 0."""
+    A stated query set goes over the rows in blocks: each task holds `block` queries at most as a matrix and scores them
+    in tiles of TILE_QUERIES by TILE_ROWS. A row that scores below a query's k-th best of the tiles before cannot be
+    among its k best; the others, ties included, meet in the ranking. Zero vectors score 0."""
     unit = lambda c: F.transform(c, lambda v: v / norm(c))
     asked = queries.select(F.col("vec_id").alias("query_id"), unit(F.col("embedding")).alias("q"))
     n = asked.count()
@@ -31,16 +35,21 @@ def top_neighbours(rows: DataFrame, queries: DataFrame, k: int = 5, block: int =
         ids, matrix = np.array([r.query_id for r in held]), np.array([r.q for r in held])
 
         def score(batches, ids=ids, matrix=matrix):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                sims = matrix @ np.stack(pdf["v"].to_numpy()).T
-                # all that reach a query's k-th best of the batch, ties included, as one frame
-                least = np.partition(sims, -k, axis=1)[:, -k][:, None] if sims.shape[1] > k else np.full((len(ids), 1), -np.inf)
-                at, row = np.nonzero(sims >= least)
-                yield pd.DataFrame({"query_id": ids[at], "vec_id": pdf["vec_id"].to_numpy()[row], "score": sims[at, row]})
+            least = np.full(len(ids), -np.inf)  # each query's k-th best so far in this task
+            for batch in batches:
+                for low in range(0, batch.num_rows, TILE_ROWS):
+                    part = batch.slice(low, TILE_ROWS)
+                    names = part.column(0).to_numpy(zero_copy_only=False)
+                    vectors = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(names), -1).T
+                    for first in range(0, len(ids), TILE_QUERIES):
+                        to = slice(first, first + TILE_QUERIES)
+                        sims = matrix[to] @ vectors
+                        if sims.shape[1] >= k:
+                            least[to] = np.maximum(least[to], np.partition(sims, -k, axis=1)[:, -k])
+                        at, row = np.nonzero(sims >= least[to][:, None])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[first + at], pa.int64()), pa.array(names[row], pa.int64()), pa.array(sims[at, row], pa.float64())], ["query_id", "vec_id", "score"])
 
-        parts.append(base.mapInPandas(score, "query_id long, vec_id long, score double"))
+        parts.append(base.mapInArrow(score, "query_id long, vec_id long, score double"))
     if not parts:
         return rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
     found = parts[0]

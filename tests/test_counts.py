@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from fragloom.llm import mixing
-from fragloom.operators import joins, reconstruct
+from fragloom.operators import joins, reconstruct, vectors
 from fragloom.plans import fragment_queries
 
 
@@ -66,3 +66,13 @@ def test_short_prefixes_reach_no_further_tokens_and_walks_do_not_stall(spark):
     for group in (1, 100):
         got = sorted((r.prompt_id, r.content_hash) for r in reconstruct.extend(stored, ends, owner="owner", group=group).collect())
         assert got == [(2**53, "a"), (2**53, "b"), (2**53 + 1, "a"), (2**53 + 1, "b")]
+
+
+def test_neighbours_do_not_depend_on_tiles(spark, monkeypatch):
+    rng = random.Random(2)
+    data = spark.createDataFrame([(i, [float(rng.randint(-3, 3)) for _ in range(4)]) for i in range(60)], "vec_id long, embedding array<double>")
+    ask = lambda: sorted((r.query_id, r["rank"], round(r.score, 9)) for r in vectors.top_neighbours(data, data.where("vec_id < 30"), 3).collect())
+    whole = ask()
+    monkeypatch.setattr(vectors, "TILE_QUERIES", 7)
+    monkeypatch.setattr(vectors, "TILE_ROWS", 2)
+    assert len(whole) == 90 and ask() == whole
