@@ -3,16 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into spark.checkpoint.dir; a temporary folder only where driver and tasks are one process, as in tests."""
-    spark, context = df.sparkSession, df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder only where driver and tasks are one process, as in tests."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the checkpoint folder, for files that Spark writes and reads."""
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint into the folder of checkpoints."""
+    folder(df.sparkSession)
     return df.checkpoint()

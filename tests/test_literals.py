@@ -111,6 +111,36 @@ def test_cluster_blocks_do_not_change_the_leaders(spark):
     assert vectors.leader_clusters(rows.where("false"), "g").count() == 0
 
 
+def test_clusters_of_few_leaders_and_of_small_keys(spark):
+    """Where few vectors lead, rounds take more rows than `block`; a key of few rows is settled beside."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((6, 8)) * 20
+    near = rng.integers(0, 3, 700) + np.where(np.arange(700) < 500, 0, 3)  # new clusters begin late
+    made = [(0, i, [float(x) for x in centres[c] + rng.standard_normal(8)]) for i, c in enumerate(near)]
+    made += [(1, i, [1.0, float(i % 2)] + [0.0] * 6) for i in range(5)]
+    want, leads = set(), {}
+    for g, i, v in made:
+        unit = np.array(v) / np.linalg.norm(v)
+        first = next((j for j, u in leads.get(g, []) if u @ unit >= 0.9), None)
+        if first is None:
+            leads.setdefault(g, []).append((i, unit))
+        want.add((g, i, i if first is None else first))
+    got = vectors.leader_clusters(spark.createDataFrame(made, "g int, vec_id long, embedding array<double>"), "g", 0.9, 16).collect()
+    assert len(got) == len(made) and {tuple(r) for r in got} == want and len(leads[0]) < 16
+
+
+def test_clusters_send_no_vectors_to_the_driver(spark):
+    """What all tasks return is less than a quarter of the vectors, each of which leads."""
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(0, i, [float(x) for x in v]) for i, v in enumerate(rng.standard_normal((1000, 512)))], "g int, vec_id long, embedding array<double>")
+    context, store = spark.sparkContext, spark.sparkContext._jsc.sc().statusStore()
+    none, empty = context._jvm.java.util.ArrayList(), context._gateway.new_array(context._jvm.double, 0)
+    sent = lambda: {(x.stageId(), x.attemptId()): x.resultSize() for x in (lambda seq: [seq.apply(i) for i in range(seq.size())])(store.stageList(none, False, False, empty, none))}
+    before = sent()
+    assert vectors.leader_clusters(rows, "g", 0.9, 128).where("leader = vec_id").count() == 1000
+    assert sum(n for stage, n in sent().items() if stage not in before) < 1000 * 512 * 8 / 4
+
+
 def test_graph_walks(spark):
     edges = spark.createDataFrame([("a", "b", "next", 0.9), ("b", "c", "next", 0.9), ("c", "d", "next", 0.4), ("c", "a", "next", 0.9)], "src string, dst string, edge_type string, weight double")
     seeds = spark.createDataFrame([("a",), ("zz",)], "seed string")
