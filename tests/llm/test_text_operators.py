@@ -179,6 +179,17 @@ def test_repeated_substrings_of_long_and_periodic_texts(spark, monkeypatch):
     assert got == sorted(slow_repeats(texts, 100))
 
 
+def test_equal_pieces_are_counted_before_they_are_joined(spark, monkeypatch):
+    """Of 60 equal texts only the first table of pieces holds all rows of a gram; those after it hold a piece once."""
+    rng, tables, cut = random.Random(10), [], substring_dedup.cut
+    text, other = ("".join(rng.choice("abcdefgh") for _ in range(400)) for _ in range(2))
+    monkeypatch.setattr(substring_dedup, "cut", lambda df: tables.append(cut(df)) or tables[-1])
+    got = substring_dedup.remove_repeats(frame(spark, [(i, text, "s") for i in range(60)] + [(60, other, "s")]), 100, 16).collect()
+    assert {(r.doc_id, r.n_removed, r.n_spans) for r in got} == {(i, 400, 1) for i in range(60)} | {(60, 0, 0)}
+    first, *later = [t.count() for t in tables]
+    assert first > 60 * max(later) and max(later) > 0
+
+
 def test_mixing_reaches_its_targets(spark, docs):
     got = mixing.mix(docs).collect()
     again = mixing.mix(docs).collect()
