@@ -179,6 +179,19 @@ def test_repeated_substrings_of_long_and_periodic_texts(spark, monkeypatch):
     assert got == sorted(slow_repeats(texts, 100))
 
 
+@pytest.mark.parametrize("size, gone", [(399, 0), (400, 400)])
+def test_shared_passages_of_over_50_words_go_from_400_bytes_on(spark, size, gone):
+    """The contract counts bytes, not words: 60 shared words of 399 bytes stay in every document."""
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = " ".join(noise(5) for _ in range(59)) + " "
+    passage += noise(size - len(passage))
+    assert len(passage) == size and len(passage.split()) == 60
+    rows = [(i, f"{noise(700)}{i}{passage}{i}{noise(700)}", "s") for i in range(5)]
+    got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert got == {(i, 1402 + size, gone, gone // 400) for i in range(5)}
+
+
 def test_equal_pieces_are_counted_before_they_are_joined(spark, monkeypatch):
     """Of 60 equal texts only the first table of pieces holds all rows of a gram; those after it hold a piece once."""
     rng, tables, cut = random.Random(10), [], substring_dedup.cut
