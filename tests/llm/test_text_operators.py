@@ -203,6 +203,20 @@ def test_equal_pieces_are_counted_before_they_are_joined(spark, monkeypatch):
     assert first > 60 * max(later) and max(later) > 0
 
 
+def test_places_of_a_crowded_piece_are_not_gathered(spark):
+    """Where nothing else is broadcast, pieces with more than crowd places are, and the others leave them out."""
+    rng = random.Random(12)
+    own = spark.newSession()
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    own.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    text, twice = ("".join(rng.choice("abcdefgh") for _ in range(400)) for _ in range(2))
+    docs = own.createDataFrame([(i, text if i < 60 else twice) for i in range(62)], "doc_id long, text string")
+    spans = substring_dedup.covered(docs, 100, 16, 30)
+    plan = spans._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"BroadcastHashJoin .*LeftAnti", plan) and re.search(r"BroadcastHashJoin .*Inner", plan)
+    assert sorted((r.id, substring_dedup.merged(r.spans)) for r in spans.collect()) == [(i, [(0, 400)]) for i in range(62)]
+
+
 def test_kinds_of_a_crowded_gram_are_not_gathered(spark):
     """Kinds of a gram with more than the crowd stay dealt out over tasks, each with the number of all of them."""
     own = spark.newSession()
