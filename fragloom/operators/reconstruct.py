@@ -21,8 +21,9 @@ from fragloom.operators.joins import best, covered, gaps
 BATCH = 16_384
 
 
-def prefix_hashes(prompts: DataFrame, attempts: int = 128, ascending: bool = False, most: int | None = None) -> DataFrame:
-    """(prompt_id, model_id, n, content_hash): hashes of about `attempts` prefixes, from the whole down, or from 1 up.
+def prefix_hashes(prompts: DataFrame, attempts: int | None = 128, ascending: bool = False, most: int | None = None) -> DataFrame:
+    """(prompt_id, model_id, n, content_hash): hashes of about `attempts` prefixes, from the whole down, or from 1 up; of
+    every prefix, if attempts is None.
 
     With `most`, only those of them with at most so many tokens, and no more tokens reach Python.
 
@@ -40,8 +41,8 @@ def prefix_hashes(prompts: DataFrame, attempts: int = 128, ascending: bool = Fal
                 if total is None or total < 1:  # here, as a filter would make the tokens once more
                     continue
                 tokens = batch.column(3)[i].values.to_numpy(zero_copy_only=False)
-                step = max(1, total // attempts)
-                ends = list(range(1, total + 1, step)) if ascending else list(range(total, 0, -step))[::-1]
+                step = max(1, total // attempts) if attempts else 1
+                ends = range(1, total + 1, step) if ascending else range(total, 0, -step)[::-1]
                 running, at = hashlib.md5(b"("), 0
                 for n in ends:  # one pass: each prefix goes on from the hash of the one before
                     if most is not None and n > most:
@@ -50,9 +51,9 @@ def prefix_hashes(prompts: DataFrame, attempts: int = 128, ascending: bool = Fal
                     whole, at = running.copy(), n
                     whole.update(b",)" if n == 1 else b")")
                     out.append((prompt, model, n, whole.hexdigest()))
-                if len(out) >= BATCH:
-                    yield made(out)
-                    out = []
+                    if len(out) >= BATCH:
+                        yield made(out)
+                        out = []
             yield made(out)
 
     tokens = F.col("tokens") if most is None else F.slice("tokens", 1, most)
@@ -60,12 +61,14 @@ def prefix_hashes(prompts: DataFrame, attempts: int = 128, ascending: bool = Fal
     return rows.mapInArrow(run, "prompt_id long, model_id string, n int, content_hash string")
 
 
-def longest_prefix(prompts: DataFrame, stored: DataFrame, attempts: int = 128) -> DataFrame:
+def longest_prefix(prompts: DataFrame, stored: DataFrame) -> DataFrame:
     """(prompt_id, n, content_hash): the longest prefix that a stored fragment of the prompt's model has.
 
-    stored: (model_id, content_hash), and n, the fragment's number of tokens, if known."""
-    most = stored.agg(F.max("n")).first()[0] if "n" in stored.columns else None  # no longer prefix can be stored
-    hits = prefix_hashes(prompts, attempts, most=most).join(stored.select("content_hash", "model_id").distinct(), ["content_hash", "model_id"])
+    stored: (model_id, content_hash), and n, the fragment's number of tokens, if known. Every prefix is looked at that
+    can be stored: where n is known of all fragments, those no longer than the longest of them."""
+    known = F.when(F.count("*") == F.count("n"), F.coalesce(F.max("n"), F.lit(0)))
+    most = stored.agg(known).first()[0] if "n" in stored.columns else None
+    hits = prefix_hashes(prompts, None, most=most).join(stored.select("content_hash", "model_id").distinct(), ["content_hash", "model_id"])
     return hits.groupBy("prompt_id").agg(F.max("n").alias("n"), F.max_by("content_hash", "n").alias("content_hash"))
 
 

@@ -299,11 +299,13 @@ _STORED = f"st AS (SELECT DISTINCT model_id, {S.tuple_hash('tokens[1:48]')} AS c
 def _stored_prefixes(spark, d):
     from fragloom.functions.hashing import tuple_hash
 
-    rows = T.prompts(spark, d).where((F.col("prompt_id") % 3 != 0) & (F.size("tokens") > 0))
-    return rows.select("model_id", tuple_hash(F.slice("tokens", 1, 48)).alias("content_hash"), F.least(F.size("tokens"), F.lit(48)).alias("n")).distinct()
+    rows = T.prompts(spark, d).where("prompt_id % 3 != 0")
+    held = rows.select("model_id", tuple_hash(F.slice("tokens", 1, 48)).alias("content_hash"), F.least(F.size("tokens"), F.lit(48)).alias("n")).distinct()
+    # cut first, as a filter would make the tokens once more, and each of the two uses would make them again
+    return cut(held).where("n > 0 and content_hash is not null")
 
 
-@query("longest_prefix", f"WITH {_PREFIX}, {_STORED}, x AS (SELECT prompt_id, model_id, n, {S.tuple_hash('tokens[1:n]')} AS content_hash FROM (SELECT *, unnest(range(len(tokens), 0, -step)) AS n FROM p)) SELECT prompt_id, max(n)::INT AS n, arg_max(content_hash, n) AS content_hash FROM x JOIN st USING (content_hash, model_id) GROUP BY prompt_id")
+@query("longest_prefix", f"WITH {S.PROMPTS}, {_STORED}, x AS (SELECT prompt_id, model_id, n, {S.tuple_hash('tokens[1:n]')} AS content_hash FROM (SELECT *, unnest(range(len(tokens), 0, -1)) AS n FROM prompts)) SELECT prompt_id, max(n)::INT AS n, arg_max(content_hash, n) AS content_hash FROM x JOIN st USING (content_hash, model_id) GROUP BY prompt_id")
 def longest_prefix(spark, d):
     return R.longest_prefix(T.prompts(spark, d), _stored_prefixes(spark, d))
 

@@ -1,12 +1,13 @@
 """Counts of met spans against the joins that make the pairs; what plans must not do."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
 
 from fragloom.llm import mixing
 from fragloom.operators import joins, reconstruct, vectors
-from fragloom.plans import fragment_queries
+from fragloom.plans import decision_queries, fragment_queries
 
 
 def spans_and_probes(spark):
@@ -68,6 +69,24 @@ def test_short_prefixes_reach_no_further_tokens_and_walks_do_not_stall(spark):
         assert got == [(2**53, "a"), (2**53, "b"), (2**53 + 1, "a"), (2**53 + 1, "b")]
 
 
+def test_longest_prefix_looks_at_every_length(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(reconstruct, "BATCH", 7)
+    name = lambda n: hashlib.md5(str(tuple(range(n))).encode()).hexdigest()
+    prompts = spark.createDataFrame([(1, "m", list(range(500))), (2, "m", list(range(30))), (3, "o", list(range(500))), (4, "m", [7]), (5, "m", []), (6, "m", None)], "prompt_id long, model_id string, tokens array<long>")
+    held = [("m", name(n), n) for n in (1, 21, 22, 48, 331)] + [("o", name(499), 499)]
+    want = {1: (331, name(331)), 2: (22, name(22)), 3: (499, name(499))}
+    stored = spark.createDataFrame(held, "model_id string, content_hash string, n int")
+    one_unknown = stored.withColumn("n", F.expr("if(n = 499, null, n)"))
+    for rows in (stored, stored.drop("n"), one_unknown):
+        assert {r.prompt_id: (r.n, r.content_hash) for r in reconstruct.longest_prefix(prompts, rows).collect()} == want
+    assert reconstruct.longest_prefix(prompts, stored.where("n < 0")).count() == 0
+
+    text = " ".join(f"w{i}" for i in range(5_000))
+    docs = [(1, text, "en", "s"), (3, text[: text.index(" w301")], "en", "s"), (4, "", "en", "s"), (5, None, "en", "s"), (6, "", "en", "s"), (7, "w0 w1", "en", "s"), (9, "w0 w1 x", "en", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.prompt_id: r.n for r in decision_queries.longest_prefix(spark, str(tmp_path)).collect()} == {1: 48, 3: 48, 7: 2, 9: 2}
+
+
 def test_neighbours_do_not_depend_on_tiles(spark, monkeypatch):
     rng = random.Random(2)
     data = spark.createDataFrame([(i, [float(rng.randint(-3, 3)) for _ in range(4)]) for i in range(60)], "vec_id long, embedding array<double>")
